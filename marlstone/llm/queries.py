@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, wavelet
+from . import decontam, packing, secretscan, wavelet
 from .common import table
 
 
+def op2_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_back(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op9_wavelet_shards)}
+QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op5_benchmark_decontamination, op9_wavelet_shards)}
 ORACLE: dict[str, str] = {}
