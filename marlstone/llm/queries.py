@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, secretscan, wavelet
+from . import decontam, packing, quality, secretscan, wavelet
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,5 +28,5 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_back(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op5_benchmark_decontamination, op9_wavelet_shards)}
+QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op9_wavelet_shards)}
 ORACLE: dict[str, str] = {}
