@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, secretscan, wavelet
+from . import decontam, packing, quality, secretscan, substring_doubling, suffix_levels, wavelet
 from .common import table
 
 
@@ -24,9 +24,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.find(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_doubling.find(table(spark, sf_dir, "documents"))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_back(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op9_wavelet_shards)}
+QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op7_suffix_levels, op8_substring_doubling, op9_wavelet_shards)}
 ORACLE: dict[str, str] = {}
