@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, secretscan, substring_doubling, suffix_levels, wavelet
+from . import decontam, ngram_groups, packing, quality, secretscan, substring_doubling, suffix_levels, wavelet
 from .common import table
 
 
@@ -36,5 +36,9 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_back(wavelet.write_shards(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op7_suffix_levels, op8_substring_doubling, op9_wavelet_shards)}
+def op10_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups.link_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op7_suffix_levels, op8_substring_doubling, op9_wavelet_shards, op10_ngram_groups)}
 ORACLE: dict[str, str] = {}

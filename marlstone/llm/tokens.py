@@ -3,19 +3,18 @@
 The vocabulary's normaliser and splitter never let a token reach across an ASCII space or line feed
 (white space is dropped, NFC and case folding act within a chunk), so a text's ids are the
 concatenation of its chunks' ids.  Chunks of plain Latin letters with trailing marks go straight to
-the BPE model; all others go through the whole tokenizer.  The cache is emptied when it is full:
-its size changes speed, never results.
+the BPE model; all others go through the whole tokenizer.  The cache has two generations, of which
+the older is dropped when the younger is full: its size changes speed, never results.
 """
 
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import struct
 
 _PLAIN = re.compile("([a-zß-öø-ɏ]+)([.,;:!?]*)")
 _LOADED: dict[str, "ChunkTokenizer"] = {}
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
 
 
 def _byte_letters() -> list[str]:
@@ -34,6 +33,7 @@ class ChunkTokenizer(dict):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.old: dict[str, bytes] = {}
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
 
     def _piece(self, piece: str) -> list[int]:
@@ -41,18 +41,26 @@ class ChunkTokenizer(dict):
         return [t.id for t in self.model.tokenize(spelled)]
 
     def __missing__(self, chunk: str) -> bytes:
+        out = self.old.get(chunk)
+        if out is None:
+            out = self._made(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = out
+        return out
+
+    def _made(self, chunk: str) -> bytes:
         plain = _PLAIN.fullmatch(chunk.lower()) if len(chunk) <= 64 else None
         if plain and plain[1] != chunk:  # capitals or trailing marks: made from simpler chunks
             out = self[plain[1]] + (self[plain[2]] if plain[2] else b"")
         elif plain:
-            out = np.asarray(self._piece(chunk), "<u4").tobytes()
+            ids = self._piece(chunk)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         else:
             ids = self.whole.encode(chunk, add_special_tokens=False).ids if chunk else []
-            out = np.asarray(ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = out
+            out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def ids(self, text: str | None) -> bytes:
