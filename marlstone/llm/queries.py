@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, ngram_groups, packing, quality, secretscan, substring_doubling, suffix_levels, wavelet
+from . import bm25, decontam, ngram_groups, packing, quality, secretscan, substring_doubling, suffix_levels, wavelet
 from .common import table
 
 
@@ -24,6 +25,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = bm25.search(bm25.build_index(docs), bm25.divisible_queries(docs), k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.find(table(spark, sf_dir, "documents"))
 
@@ -40,5 +47,23 @@ def op10_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups.link_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op7_suffix_levels, op8_substring_doubling, op9_wavelet_shards, op10_ngram_groups)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_credential_linking, op3_best_fit_packing, op4_pu_quality, op5_benchmark_decontamination, op6_bm25_topk, op7_suffix_levels, op8_substring_doubling, op9_wavelet_shards, op10_ngram_groups)}
+#: Words as bm25 takes them: A-Z lowered, runs of digits, letters and everything beyond ASCII.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE: dict[str, str] = {
+    "op6_bm25_topk": f"""
+WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+lengths AS (SELECT doc_id, len(w) AS n FROM words),
+stats AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM lengths),
+postings AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM words) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM postings GROUP BY t),
+scored AS (
+  SELECT q.doc_id AS query_id, p.doc_id,
+         round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score
+  FROM postings q JOIN postings p USING (t) JOIN df USING (t) JOIN lengths l ON l.doc_id = p.doc_id CROSS JOIN stats
+  WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, p.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+""",
+}
