@@ -31,7 +31,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import stored
-from .repeats import LAST_ID, Chunks, part_of, unpack
+from .repeats import LAST_ID, Chunks, part_of, stretches, unpack
 
 N = 3
 NUMERATOR, DENOMINATOR = 90, 100
@@ -240,10 +239,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 tokens, idx, label = map(np.concatenate, (tokens, idx, label))
                 order = np.argsort(tokens, kind="stable")
                 tokens, idx, label = tokens[order], idx[order], label[order]
-                part = part_of(tokens, parts, 48)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                rows = list(zip(cut, np.append(cut[1:], len(part)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(cut), pa.int64()), pa.array([six(tokens[x:y]) for x, y in rows], pa.binary()), pa.array([idx[x:y].tobytes() for x, y in rows], pa.binary()), pa.array([label[x:y].tobytes() for x, y in rows], pa.binary())], ["part", "chunk", "tokens", "idx", "label"])
+                part, rows = stretches(part_of(tokens, parts, 48))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), pa.array([six(tokens[x:y]) for x, y in rows], pa.binary()), pa.array([idx[x:y].tobytes() for x, y in rows], pa.binary()), pa.array([label[x:y].tobytes() for x, y in rows], pa.binary())], ["part", "chunk", "tokens", "idx", "label"])
 
     def shared(group):
         tokens = [unsix(x.as_py()) for x in group.column("tokens")]

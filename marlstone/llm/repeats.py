@@ -180,6 +180,12 @@ def part_of(hashes: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return ((hashes >> np.uint64(bits - 31)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
 
 
+def stretches(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The distinct parts of sorted parts, and the stretch [a, b) of each (none for no parts)."""
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[cut].astype(np.int32), list(zip(cut.tolist(), [*cut[1:].tolist(), len(part)][: len(cut)], strict=True))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], ..., starts[0]+lengths[0]-1, starts[1], ..."""
     ends = np.cumsum(lengths)
@@ -193,11 +199,10 @@ def repeated_anchors(chunks: Chunks, anchored, parts: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 sent = anchored(*unpack(batch, r)).sent()
-                part = part_of(sent >> np.uint64(1), parts, 47)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
+                own, edges = stretches(part_of(sent >> np.uint64(1), parts, 47))
                 six = sent.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                rows = [six[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(sent)), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32), pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["part", "chunk", "sent"])
+                rows = [six[a:b].tobytes() for a, b in edges]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), pa.array(rows, pa.binary())], ["part", "chunk", "sent"])
 
     def answer(group):
         rows = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in group.column("sent")]

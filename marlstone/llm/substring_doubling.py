@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from . import textvec as tv
 from .common import stored
-from .repeats import Anchored, Chunks, part_of, repeated_anchors, replies, reply_of, unpack
+from .repeats import Anchored, Chunks, part_of, repeated_anchors, replies, reply_of, stretches, unpack
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -71,10 +71,9 @@ def find(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: st
             for r in range(batch.num_rows):
                 a = anchored(*unpack(batch, r))
                 sent = Sent(a, a.repeated(reply_of(batch, r, "reply0"), parts1))
-                part = part_of(sent.hashes, parts2, 64)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                edges = list(zip(cut, np.append(cut[1:], len(part)), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(cut), pa.int64()), pa.array([sent.hashes[x:y].tobytes() for x, y in edges], pa.binary()), pa.array([np.unique(sent.least[x:y], return_inverse=True)[0].tobytes() for x, y in edges], pa.binary()), pa.array([np.unique(sent.least[x:y], return_inverse=True)[1].astype(np.uint32).tobytes() for x, y in edges], pa.binary())], ["part", "chunk", "hashes", "ids", "which"])
+                part, edges = stretches(part_of(sent.hashes, parts2, 64))
+                owners = [np.unique(sent.least[x:y], return_inverse=True) for x, y in edges]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(edges), pa.int64()), pa.array([sent.hashes[x:y].tobytes() for x, y in edges], pa.binary()), pa.array([i.tobytes() for i, _ in owners], pa.binary()), pa.array([w.astype(np.uint32).tobytes() for _, w in owners], pa.binary())], ["part", "chunk", "hashes", "ids", "which"])
 
     def resolve(group):
         hashes = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("hashes")]
