@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 
 from . import textvec as tv
 from .common import stored
-from .repeats import Anchored, Chunks, part_of, ragged, repeated_anchors, replies, reply_of, unpack
+from .repeats import Anchored, Chunks, part_of, ragged, repeated_anchors, replies, reply_of, stretches, unpack
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-BATCH_SUFFIXES = 1 << 18
+BATCH_SUFFIXES = 1 << 17
 
 
 class LevelIndex:
@@ -64,24 +64,31 @@ class LevelIndex:
 
 
 def first_documents(text: np.ndarray, counts: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
-    """First document of every window of some runs (run r: counts[r] windows, ids[r])."""
-    spans = counts + window - 1
-    at = np.concatenate(([0], np.cumsum(spans)))[:-1]
+    """First document of every window of some runs (run r: counts[r] windows, ids[r]).
+
+    Runs of equal bytes are indexed once, under their least document.
+    """
+    edges = np.concatenate(([0], np.cumsum(counts + window - 1)))
+    raw, known, order = text.tobytes(), {}, np.argsort(ids, kind="stable")
+    stands = np.empty(len(ids), np.int64)
+    for r, a, b in zip(order.tolist(), edges[order].tolist(), edges[order + 1].tolist(), strict=True):
+        stands[r] = known.setdefault(raw[a:b], r)
+    order = np.fromiter(known.values(), np.int64, len(known))
+    del known
     out_at = np.concatenate(([0], np.cumsum(counts)))
     out, index = np.empty(out_at[-1], np.int64), LevelIndex()
-    order = np.argsort(ids, kind="stable")
     fill = np.cumsum(counts[order])
     begin = 0
     while begin < len(order):
         base = fill[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(fill, base + BATCH_SUFFIXES, "right")))
         runs = order[begin:end]
-        starts = ragged(at[runs], counts[runs])
+        starts = ragged(edges[runs], counts[runs])
         windows = np.lib.stride_tricks.sliding_window_view(text, window)[starts]
         found = index.add(np.ascontiguousarray(windows).view(f"S{window}").ravel(), np.repeat(ids[runs], counts[runs]))
         out[ragged(out_at[runs], counts[runs])] = found
         begin = end
-    return out
+    return out[ragged(out_at[stands], counts)]
 
 
 class SentRuns:
@@ -119,7 +126,7 @@ class SentRuns:
 def find(docs: DataFrame, window: int = 50, seed: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, SCHEMA."""
     chunks = Chunks(docs, id_col, text_col)
-    parts1, parts2 = chunks.parts(chunks.bytes, 64 << 20), chunks.parts(chunks.bytes, 8 << 20)
+    parts1, parts2 = chunks.parts(chunks.bytes, 64 << 20), chunks.parts(chunks.bytes, 2 << 20)
 
     def anchored(ids, nulls, data, off):
         return Anchored(data.astype(np.uint64) + np.uint64(1), off, ids, window, seed)
@@ -133,12 +140,10 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, id_col: str = "doc_i
                 ids, nulls, data, off = unpack(batch, r)
                 a = anchored(ids, nulls, data, off)
                 sent = SentRuns(a, a.repeated(reply_of(batch, r, "reply0"), parts1))
-                part = part_of(sent.anchor, parts2, 47)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                edges = list(zip(cut, np.append(cut[1:], len(part)), strict=True))
+                part, edges = stretches(part_of(sent.anchor, parts2, 47))
                 texts = [squeeze(data[ragged(sent.begin[x:y], sent.length[x:y])].tobytes()) for x, y in edges]
                 table = [squeeze(np.concatenate((sent.count[x:y], sent.least[x:y])).astype(np.int64).tobytes()) for x, y in edges]
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(cut), pa.int64()), pa.array(table, pa.binary()), pa.array(texts, pa.binary())], ["part", "chunk", "runs", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(edges), pa.int64()), pa.array(table, pa.binary()), pa.array(texts, pa.binary())], ["part", "chunk", "runs", "text"])
 
     def resolve(group):
         inflate = zstandard.ZstdDecompressor().decompress
