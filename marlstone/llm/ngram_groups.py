@@ -211,7 +211,9 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = members.join(sizes.select("target", "salts"), "target").select("chunk", "idx", "target", F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
     asked = asked.union(sizes.select(F.col("h_chunk").alias("chunk"), F.col("h_idx").alias("idx"), "target", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
     near = stored(ship(chunks, asked).groupBy("target", "salt").applyInArrow(open_group, "a long, b long"), "near")
-    label = components(near)
+    several = profile.where("n > 0").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
+    shared_ids = profile.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), "fp").join(classes.select("fp", F.col("doc_id").alias("b")), "fp").select("a", "b")
+    label = components(near.union(shared_ids))
     labelled = classes.join(label, classes.doc_id == label.node, "left").select("fp", "doc_id", "chunk", "idx", "n", F.coalesce("label", "doc_id").alias("label"))
     cluster = labelled.groupBy("label").agg(F.count("*").alias("members"))
     grouped = stored(labelled.join(cluster, "label").withColumn("block", F.pmod(F.xxhash64("chunk", "idx"), F.ceil(F.col("members") / group_size).cast("long")).cast("int")), "groups")
