@@ -10,7 +10,8 @@ A document is the set of its distinct 3-word shingles; two link when 100 * |A n
 3. *Candidate groups*: under a global order by rarity (a fixed-size table of counts over all
    documents) linked sets share a token among their first |A| - ceil(.9|A|) + 1.  Tokens held by
    several clusters give (document, group) candidates of fitting sizes, each pair of clusters in
-   one direction.
+   one direction, if their parity sketches allow a link: a sketch has a bit for the parity of the
+   tokens in each slot, so two sets differ in at least as many tokens as their sketches in bits.
 4. *Matrix row and bound*: a candidate group's row is the union of its members' tokens; a query
    that has fewer than ceil(.9|A|) tokens in it cannot qualify.  Only qualifying groups are opened
    and their members compared exactly; a group is connected already, so one link is enough.
@@ -38,11 +39,12 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import stored
-from .repeats import LAST_ID, Chunks, part_of, stretches, unpack
+from .repeats import LAST_ID, Chunks, part_of, ragged, stretches, unpack
 
 N = 3
 NUMERATOR, DENOMINATOR = 90, 100
 COUNT_BITS, COUNT_SLICES = 22, 64
+BLOCK, PAIRS = 4096, 1 << 20
 KEYS, PER_KEY = 4, 2
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
@@ -72,6 +74,44 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each slot; half as many bits as tokens, rounded up to a power of two."""
+    bits = 1 << max(6, (len(tokens) // 2).bit_length())
+    odd = np.bincount((tokens >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (a, b) can still link by sizes and sketches (row r: words[r] words of ``flat`` at at[r])."""
+    out = NUMERATOR * np.maximum(n[a], n[b]) <= DENOMINATOR * np.minimum(n[a], n[b])
+    most = (DENOMINATOR - NUMERATOR) * (n[a] + n[b]) // (DENOMINATOR + NUMERATOR)  # tokens that linked sets may differ in
+    width = np.minimum(words[a], words[b])
+
+    def folded(rows, w):
+        """Sketches of ``rows`` as w words: a wider one is the exclusive or of its stretches."""
+        got = np.zeros((len(rows), w), np.uint64)
+        for times in np.unique(words[rows] // w):
+            own = np.flatnonzero(words[rows] // w == times)
+            for k in range(times):
+                got[own] ^= flat[at[rows[own]][:, None] + np.arange(k * w, (k + 1) * w)]
+        return got
+
+    for w in np.unique(width[out]):
+        which = np.flatnonzero(out & (width == w))
+        for begin in range(0, len(which), max(1, PAIRS // int(w))):
+            own = which[begin : begin + max(1, PAIRS // int(w))]
+            apart = np.bitwise_count(folded(a[own], int(w)) ^ folded(b[own], int(w))).sum(axis=1, dtype=np.int64)
+            out[own] = apart <= most[own]
+    return out
+
+
+def sketches(columns: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, places, words of all) of sketch columns, one after another."""
+    raw = [x for c in columns for x in c.to_pylist()]
+    words = np.asarray([len(x) // 8 for x in raw], np.int64)
+    return words, np.concatenate(([0], np.cumsum(words)))[:-1], np.frombuffer(b"".join(raw), np.uint64)
+
+
 def short(tokens: np.ndarray) -> np.ndarray:
     return np.unique(tokens >> np.uint64(16))
 
@@ -118,22 +158,23 @@ def token_counts(chunks: Chunks) -> np.ndarray:
 
 
 def profiles(chunks: Chunks) -> DataFrame:
-    """doc_id, chunk, idx, n, fp, keys of every document."""
+    """doc_id, chunk, idx, n, fp, sig, keys of every document."""
 
     def each(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, _, data, off = unpack(batch, r)
-                fps, keys, sizes = [], [], []
+                fps, sigs, keys, sizes = [], [], [], []
                 for s in shingle_sets(data, off):
                     sizes.append(len(s))
                     fps.append(hashlib.md5(s.tobytes()).digest())
+                    sigs.append(sketch(s))
                     least = [int(tv.mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))).min()) for j in range(KEYS * PER_KEY)] if len(s) else []
                     keys.append([hash((k, *least[k * PER_KEY : (k + 1) * PER_KEY])) for k in range(KEYS)] if least else [])
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "chunk", "idx", "n", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "chunk", "idx", "n", "fp", "sig", "keys"])
 
-    return chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(each, "doc_id long, chunk long, idx int, n long, fp binary, keys array<long>")
+    return chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(each, "doc_id long, chunk long, idx int, n long, fp binary, sig binary, keys array<long>")
 
 
 def ship(chunks: Chunks, requests: DataFrame) -> DataFrame:
@@ -146,12 +187,12 @@ def ship(chunks: Chunks, requests: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 ids, _, data, off = unpack(batch, r)
                 asked = batch.column(batch.schema.get_field_index("asked"))[r].as_py()
-                sets, done = shingle_sets(data, off), {}
+                wanted = np.unique([x["idx"] for x in asked])
+                size = off[wanted + 1] - off[wanted]
+                sets = shingle_sets(data[ragged(off[wanted], size)], np.concatenate(([0], np.cumsum(size))))
+                done = {int(i): six(short(x)) for i, x in zip(wanted, sets, strict=True)}
                 for begin in range(0, len(asked), 1000):
                     rows = asked[begin : begin + 1000]
-                    for x in rows:
-                        if x["idx"] not in done:
-                            done[x["idx"]] = six(short(sets[x["idx"]]))
                     yield pa.RecordBatch.from_arrays([pa.array([x["target"] for x in rows], pa.int64()), pa.array([x["salt"] for x in rows], pa.int32()), pa.array([x["query"] for x in rows], pa.bool_()), pa.array([ids[x["idx"]] for x in rows], pa.int64()), pa.array([done[x["idx"]] for x in rows], pa.binary())], ["target", "salt", "query", "doc_id", "tokens"])
 
     return chunks.table.join(asked, "chunk").mapInArrow(each, schema)
@@ -179,6 +220,45 @@ def open_group(group):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _plausible(batches):
+    """Rows whose document may link to the head beside it."""
+    for batch in batches:
+        rows = batch.num_rows
+        n = np.concatenate([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("n", "h_n")])
+        ok = may_link(np.arange(rows), np.arange(rows, 2 * rows), n, *sketches([batch.column(batch.schema.get_field_index(c)) for c in ("sig", "h_sig")]))
+        yield batch.filter(pa.array(ok))
+
+
+def close_pairs(group):
+    """Rows (token, side, chunk, idx, n, label, members, block, sig) -> (document, group) candidates.
+
+    Pairs of rows with one token, of different clusters, that may link; the document is of the
+    lesser cluster (members, label).  ``side`` tells the two blocks of a split token's rows apart.
+    """
+    order = np.lexsort((np.asarray(group.column("split")), np.asarray(group.column("token"))))
+    group = group.take(pa.array(order))
+    col = {c: np.asarray(group.column(c)) for c in ("token", "split", "side", "chunk", "idx", "n", "label", "members", "block")}
+    words, at, flat = sketches([group.column("sig")])
+    last = np.append((col["token"][1:] != col["token"][:-1]) | (col["split"][1:] != col["split"][:-1]), True)
+    ends = np.flatnonzero(last) + 1
+    partners = np.repeat(ends, np.diff(np.concatenate(([0], ends)))) - np.arange(len(last)) - 1
+    total, found, begin = np.cumsum(partners), [], 0
+    while begin < len(partners):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+        rows = np.arange(begin, end)
+        a, b = np.repeat(rows, partners[rows]), ragged(rows + 1, partners[rows])
+        keep = (col["label"][a] != col["label"][b]) & ((col["side"][a] != col["side"][b]) | (col["side"][a] == 0))
+        a, b = a[keep], b[keep]
+        keep = may_link(a, b, col["n"], words, at, flat)
+        a, b = a[keep], b[keep]
+        swap = (col["members"][a] > col["members"][b]) | ((col["members"][a] == col["members"][b]) & (col["label"][a] > col["label"][b]))
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        found.append(np.stack((col["chunk"][a], col["idx"][a].astype(np.int64), col["label"][b], col["block"][b].astype(np.int64)), axis=1))
+        begin = end
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+    return pa.table({"chunk": pa.array(rows[:, 0]), "idx": pa.array(rows[:, 1].astype(np.int32)), "g_label": pa.array(rows[:, 2]), "g_block": pa.array(rows[:, 3].astype(np.int32))})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): least node reachable, for every node of ``edges`` (a, b)."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
@@ -200,13 +280,13 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunks = Chunks(docs, id_col, text_col)
     spark = chunks.spark
     profile = stored(profiles(chunks), "profiles")
-    classes = stored(profile.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "keys")).alias("r")).select("fp", "r.*"), "classes")
+    classes = stored(profile.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "sig", "keys")).alias("r")).select("fp", "r.*"), "classes")
 
     # Groups: compare each class with the least one of its keys.
-    keyed = classes.select("doc_id", "chunk", "idx", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "chunk", "idx")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    members = keyed.join(heads, "key").where("doc_id <> h.doc_id").select("chunk", "idx", F.col("h.doc_id").alias("target"), F.col("h.chunk").alias("h_chunk"), F.col("h.idx").alias("h_idx")).distinct()
-    members = stored(members, "members")
+    keyed = classes.select("doc_id", "chunk", "idx", "n", "sig", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "sig")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    pairs = keyed.join(heads, "key").where("doc_id <> h.doc_id").select("chunk", "idx", "n", "sig", F.col("h.doc_id").alias("target"), F.col("h.chunk").alias("h_chunk"), F.col("h.idx").alias("h_idx"), F.col("h.n").alias("h_n"), F.col("h.sig").alias("h_sig"))
+    members = stored(pairs.mapInArrow(_plausible, pairs.schema).select("chunk", "idx", "target", "h_chunk", "h_idx").distinct(), "members")
     sizes = members.groupBy("target", "h_chunk", "h_idx").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / member_rows).cast("int"))
     asked = members.join(sizes.select("target", "salts"), "target").select("chunk", "idx", "target", F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
     asked = asked.union(sizes.select(F.col("h_chunk").alias("chunk"), F.col("h_idx").alias("idx"), "target", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
@@ -214,7 +294,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = profile.where("n > 0").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
     shared_ids = profile.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), "fp").join(classes.select("fp", F.col("doc_id").alias("b")), "fp").select("a", "b")
     label = components(near.union(shared_ids))
-    labelled = classes.join(label, classes.doc_id == label.node, "left").select("fp", "doc_id", "chunk", "idx", "n", F.coalesce("label", "doc_id").alias("label"))
+    labelled = classes.join(label, classes.doc_id == label.node, "left").select("fp", "doc_id", "chunk", "idx", "n", "sig", F.coalesce("label", "doc_id").alias("label"))
     cluster = labelled.groupBy("label").agg(F.count("*").alias("members"))
     grouped = stored(labelled.join(cluster, "label").withColumn("block", F.pmod(F.xxhash64("chunk", "idx"), F.ceil(F.col("members") / group_size).cast("long")).cast("int")), "groups")
 
@@ -261,11 +341,14 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = grouped.groupBy("chunk").agg(F.collect_list(F.struct("idx", "label")).alias("info"))
     sent = chunks.table.select("chunk", "ids", "nulls", "ends", "data").join(info, "chunk").mapInArrow(rare, "part int, chunk long, tokens binary, idx binary, label binary")
     hits = sent.groupBy("part").applyInArrow(shared, "token long, chunk long, idx int")
-    hits = stored(hits.join(grouped.select("chunk", "idx", "n", "label", "members", "block"), ["chunk", "idx"]), "hits")
-    rows = hits.groupBy("token", F.col("label").alias("g_label"), F.col("block").alias("g_block")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("g_members"))
-    fits = (F.col("n") * NUMERATOR <= F.col("most") * DENOMINATOR) & (F.col("least") * NUMERATOR <= F.col("n") * DENOMINATOR)
-    forward = F.struct("members", "label") < F.struct(F.col("g_members"), F.col("g_label"))
-    candidates = stored(hits.join(rows, "token").where((F.col("label") != F.col("g_label")) & forward & fits).select("chunk", "idx", "g_label", "g_block").distinct(), "candidates")
+    hits = stored(hits.join(grouped.select("chunk", "idx", "n", "sig", "label", "members", "block"), ["chunk", "idx"]), "hits")
+    heavy = hits.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("chunk", "idx"), F.col("blocks")).cast("int")
+    dealt = hits.join(heavy, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = dealt.withColumn("split", (low * F.col("blocks") + high).cast("long")).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "split"), F.lit(parts))).select("part", "token", "split", "side", "chunk", "idx", "n", "label", "members", "block", "sig")
+    candidates = stored(dealt.groupBy("part").applyInArrow(close_pairs, "chunk long, idx int, g_label long, g_block int").distinct(), "candidates")
 
     # Matrix rows, bounds, and opened groups.
     asked_groups = candidates.groupBy("g_label", "g_block").agg(F.count("*").alias("queries")).withColumn("salts", F.ceil(F.col("queries") / member_rows).cast("int"))

@@ -196,8 +196,11 @@ def test_ngram_groups(spark, case):
         assert got == sorted(brute.jaccard_classes(rows), key=repr)
 
 
-def test_ngram_chains(spark, documents):
+@pytest.mark.parametrize("block,pairs", [(4096, 1 << 20), (16, 100)])
+def test_ngram_chains(spark, documents, monkeypatch, block, pairs):
     """Links that only hold in a chain, near copies beyond a group's size, and clusters that meet."""
+    monkeypatch.setattr(ngram_groups, "BLOCK", block)
+    monkeypatch.setattr(ngram_groups, "PAIRS", pairs)
     base, rows = prose(200, 77).split(" "), []
     for k in range(60):  # each drops one more word than the one before: neighbours link, ends do not
         rows.append((k, " ".join(base[k:])))
@@ -211,6 +214,21 @@ def test_ngram_chains(spark, documents):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {c for _, _, c in got}
 
 
+def test_sketches_bound_differences():
+    import numpy as np
+
+    r, sets = np.random.default_rng(3), []
+    for n in (1, 3, 40, 60, 63, 64, 66, 127, 140, 1000, 1090, 2047, 2300):
+        base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        for lost in (0, n // 40, n // 12, n // 5):
+            sets.append(np.unique(np.concatenate((base[lost:], r.integers(0, 1 << 63, lost // 2, dtype=np.uint64)))))
+    words, at, flat = ngram_groups.sketches([pa.array([ngram_groups.sketch(s) for s in sets], pa.binary())])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    maybe = ngram_groups.may_link(a, b, np.asarray([len(s) for s in sets]), words, at, flat)
+    true = np.asarray([len(sets[x]) > 0 and len(sets[y]) > 0 and ngram_groups.links(sets[x], sets[y]) for x, y in zip(a, b, strict=True)])
+    assert not (true & ~maybe).any() and true.sum() > len(sets) and maybe.sum() < 1.6 * true.sum()
+
+
 def test_bm25(spark, case):
     import duckdb
 
