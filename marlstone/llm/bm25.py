@@ -1,6 +1,6 @@
 """Exact top-k BM25 search with block-max pruning (operator 6).
 
-Documents are cut into shards (some MB of whole texts, documents by length).  A shard's inverted
+Documents are cut into shards (some MB of whole texts; like documents lie together).  A shard's inverted
 index holds its distinct words (64-bit hashes), their postings (document, frequency) and document
 lengths, and is written once; searches never touch the texts again.
 
@@ -9,9 +9,10 @@ shards merge exactly: sum over a query's distinct words of
 ``ln(1 + (N - df + .5) / (df + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / mean))``.
 
 Within a shard a query's rare words are scored from their postings; its frequent words only bound
-what each block of ``BLOCK`` documents can still gain (block maxima, as in block-max WAND).  Only
-documents whose bound reaches the k-th best score found so far for this query are scored fully; the
-threshold is carried from shard to shard of a task.  Scores are compared after rounding to nine
+what each block of ``BLOCK`` documents can still gain (block maxima, as in block-max WAND).  Blocks
+whose bound is below the k-th best score found so far for this query are skipped, single documents
+of the others are bounded again, and only those that still qualify are scored; the threshold is
+carried from shard to shard of a task.  Scores are compared after rounding to nine
 decimals, ties by least document id, so the result does not depend on how shards are cut.
 
 Queries are taken in blocks of at most ``block_bytes`` of text, each broadcast to one pass over the
@@ -39,6 +40,8 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 SLICES = 64
 DIGITS = 9
+#: More than single precision can be off by in a sum of some thousand gains.
+MARGIN = 0.01
 SCHEMA = "query_id long, rank int, doc_id long, score double"
 
 
@@ -58,11 +61,8 @@ class Shard:
     @classmethod
     def build(cls, ids: np.ndarray, data: np.ndarray, off: np.ndarray) -> Shard:
         first, hashes = document_words(data, off)
-        length = np.diff(first)
-        by_length = np.argsort(length, kind="stable")
-        place = np.empty(len(ids), np.int64)
-        place[by_length] = np.arange(len(ids))
-        owner = np.repeat(place, length)
+        length, n = np.diff(first), len(ids)
+        owner = np.repeat(np.arange(n), length)
         order = np.lexsort((owner, hashes))
         h, d = hashes[order], owner[order]
         new = np.ones(len(h), bool)
@@ -71,7 +71,15 @@ class Shard:
         tf = np.diff(np.append(at, len(h)))
         h, d = h[at], d[at]
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-        return cls(ids=ids[by_length], length=length[by_length], terms=h[start], ptr=np.append(start, len(h)), doc=d.astype(np.uint32), tf=tf.astype(np.uint32))
+        # Documents with the same most frequent word (so, as a rule, of one language) and like length lie together.
+        main = np.zeros(n, np.uint64)
+        np.maximum.at(main, d, (tf.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+        by = np.lexsort((length, main & np.uint64((1 << 40) - 1)))
+        place = np.empty(n, np.int64)
+        place[by] = np.arange(n)
+        term = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
+        order = np.argsort(term * max(n, 1) + place[d], kind="stable")
+        return cls(ids=ids[by], length=length[by], terms=h[start], ptr=np.append(start, len(h)), doc=place[d][order].astype(np.uint32), tf=tf[order].astype(np.uint32))
 
     def to_bytes(self) -> bytes:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -89,7 +97,7 @@ class Shard:
         return cls(**out)
 
 
-def build_index(docs: DataFrame, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: one row per shard (n_docs, n_words, payload)."""
 
     def each(batches):
@@ -161,21 +169,29 @@ class Searcher:
         norm = K1 * (1 - B + B * shard.length / mean)
         tf = shard.tf.astype(np.float64)
         self.gain = tf * (K1 + 1) / (tf + norm[shard.doc])
+        self.norm = norm
         self.counts = np.diff(shard.ptr)
         frequent = self.counts > max(BLOCK, self.n // 32)
         frequent &= np.isin(np.arange(len(frequent)), self.local)
         which = np.flatnonzero(frequent)
         self.row = np.full(len(frequent), -1)
         self.row[which] = np.arange(len(which))
-        blocks = -(-self.n // BLOCK)
-        self.dense = np.zeros((len(which), blocks * BLOCK))
+        self.blocks = -(-self.n // BLOCK)
         places = ragged(shard.ptr[which], self.counts[which])
-        self.dense[np.repeat(np.arange(len(which)), self.counts[which]), shard.doc[places]] = self.gain[places]
-        self.most = self.dense.reshape(len(which), blocks, BLOCK).max(axis=2) if len(which) else np.zeros((0, blocks))
+        rows = np.repeat(np.arange(len(which)), self.counts[which])
+        self.tf = np.zeros((len(which), self.n), np.uint32)
+        self.tf[rows, shard.doc[places]] = shard.tf[places]
+        self.rough = np.zeros((len(which), self.blocks * BLOCK), np.float32)
+        self.rough[rows, shard.doc[places]] = self.gain[places]
+        self.most = self.rough.reshape(len(which), self.blocks, BLOCK).max(axis=2) if len(which) else np.zeros((0, self.blocks), np.float32)
         self.idf = idf
 
     def search(self, terms: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) that may be among the k best; ``terms`` are places in the block's terms."""
+        """(documents, scores) that may be among the k best; ``terms`` are places in the block's terms.
+
+        Rare words are scored exactly; frequent ones bound blocks, then single documents of the
+        blocks that are left in single precision (within MARGIN), then score what still qualifies.
+        """
         local = self.local[terms]
         terms, local = terms[local >= 0], local[local >= 0]
         if not len(local):
@@ -184,16 +200,26 @@ class Searcher:
         rare = rows < 0
         own, size = local[rare], self.counts[local[rare]]
         places = ragged(self.shard.ptr[own], size)
-        score = np.bincount(self.shard.doc[places], weights=self.gain[places] * np.repeat(weight[rare], size), minlength=self.n)
+        score = np.bincount(self.shard.doc[places], weights=self.gain[places] * np.repeat(weight[rare], size), minlength=self.blocks * BLOCK)
         rows, weight = rows[~rare], weight[~rare]
-        bound = score + np.repeat(weight @ self.most[rows], BLOCK)[: self.n]
-        full = lambda docs: score[docs] + weight @ self.dense[np.ix_(rows, docs)]
-        if floor <= 0 and self.n > 4 * k:  # a first threshold from the most promising documents
-            seed = np.argpartition(-bound, 4 * k)[: 4 * k]
-            floor = np.partition(full(seed), -k)[-k]
-        docs = np.flatnonzero((bound >= floor - 1e-8) & (bound > 0))
-        found = full(docs)
-        good = (found >= floor - 1e-8) & (found > 0)
+        light = weight.astype(np.float32)
+        bound = light @ self.most[rows] + score.reshape(-1, BLOCK).max(axis=1)
+        left = np.flatnonzero(bound >= floor - MARGIN)
+        if not len(left):
+            return np.zeros(0, np.int64), np.zeros(0)
+        if 2 * len(left) > self.blocks:
+            docs = np.arange(self.n)
+            rough = score[: self.n] + (light @ self.rough[rows])[: self.n]
+        else:
+            docs = (left[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rough = score[docs] + light @ self.rough[rows[:, None], docs]
+            docs, rough = docs[docs < self.n], rough[docs < self.n]
+        if len(docs) > k:
+            floor = max(floor, np.partition(rough, -k)[-k] - MARGIN)
+        docs = docs[(rough >= floor - MARGIN) & (rough > 0)]
+        tf = self.tf[rows[:, None], docs].astype(np.float64)
+        found = score[docs] + weight @ (tf * (K1 + 1) / (tf + self.norm[docs]))
+        good = found > 0
         return docs[good], found[good]
 
 
