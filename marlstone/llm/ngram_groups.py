@@ -1,6 +1,7 @@
 """N-gram Jaccard join by a token-group matrix (operator 10).
 
-A document is the set of its distinct 3-word shingles; two link when 100 * |A n B| >= 90 * |A u B|.
+A document is the set of its distinct n-word shingles; two link when 100 * |A n B| >= percent * |A u B|
+(a ``Rule``: 3 words and 90 in the registered query, 5 words and 80 in the corpus pipeline).
 
 1. Documents go once into a table of chunks (see ``repeats``); every pass derives the sets again, so
    no token table is stored.  Equal sets are one class, stood for by its least document.
@@ -8,12 +9,12 @@ A document is the set of its distinct 3-word shingles; two link when 100 * |A n
    member; verified links make clusters of similar documents, which are cut by hash into groups of
    about ``group_size``.
 3. *Candidate groups*: under a global order by rarity (a fixed-size table of counts over all
-   documents) linked sets share a token among their first |A| - ceil(.9|A|) + 1.  Tokens held by
+   documents) linked sets share a token among their first |A| - ceil(t|A|) + 1.  Tokens held by
    several clusters give (document, group) candidates of fitting sizes, each pair of clusters in
    one direction, if their parity sketches allow a link: a sketch has a bit for the parity of the
    tokens in each slot, so two sets differ in at least as many tokens as their sketches in bits.
 4. *Matrix row and bound*: a candidate group's row is the union of its members' tokens; a query
-   that has fewer than ceil(.9|A|) tokens in it cannot qualify.  Only qualifying groups are opened
+   that has fewer than ceil(t|A|) tokens in it cannot qualify.  Only qualifying groups are opened
    and their members compared exactly; a group is connected already, so one link is enough.
 5. Components by least-label propagation with pointer jumping over the few links.
 
@@ -21,14 +22,16 @@ Equal sets, a cluster's own members and the pairs within a group are never expan
 near copies cost one comparison each; groups and their query lists are split to bounded sizes.
 Tokens are 64-bit hashes for counting and class identity, 48-bit ones in comparisons.
 
-Defined cases: null and wordless texts have the empty set and are their own component; one or two
-words are one shingle; rows that share an id count as one document; a null id is the greatest and
+Defined cases: null and wordless texts have the empty set and are their own component; fewer than
+n words are one shingle; rows that share an id count as one document; a null id is the greatest and
 its component is null if nothing else reaches it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,50 +44,61 @@ from . import textvec as tv
 from .common import stored
 from .repeats import LAST_ID, Chunks, part_of, ragged, stretches, unpack
 
-N = 3
-NUMERATOR, DENOMINATOR = 90, 100
 COUNT_BITS, COUNT_SLICES = 22, 64
 BLOCK, PAIRS = 4096, 1 << 20
 KEYS, PER_KEY = 4, 2
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+@dataclasses.dataclass(frozen=True)
+class Rule:
+    """Shingles of ``words`` words; sets link from ``percent`` hundredths of their union in common."""
+
+    words: int = 3
+    percent: int = 90
+
+    def needed(self, n):
+        """Least intersection of a set of ``n`` with anything it links to."""
+        return -(-self.percent * n // 100)
+
+    def fits(self, n, m):
+        """Whether sets of ``n`` and ``m`` can link at all (numbers, arrays or columns)."""
+        return (n * 100 >= m * self.percent) & (m * 100 >= n * self.percent)
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Exact test on sorted distinct tokens."""
+        if not self.fits(len(a), len(b)):
+            return False
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        both = int((b[at] == a).sum())
+        return 100 * both >= self.percent * (len(a) + len(b) - both)
+
+    def differ(self, n):
+        """Most tokens in which linked sets of together ``n`` tokens differ."""
+        return (100 - self.percent) * n // (100 + self.percent)
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of each document."""
     starts, ends, first = tv.words(data, off, tv.SPACED_LOWER)
     hashes = tv.word_hashes(data, starts, ends, tv.SPACED_LOWER)
-    windows = tv.window_hashes(hashes, N)
+    windows = tv.window_hashes(hashes, words)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append(np.unique(windows[a : b - N + 1]) if b - a >= N else tv.window_hashes(hashes[a:b], b - a) if b > a else windows[:0])
+        out.append(np.unique(windows[a : b - words + 1]) if b - a >= words else tv.window_hashes(hashes[a:b], b - a) if b > a else windows[:0])
     return out
 
 
-def needed(n):
-    """Least intersection of a set of ``n`` with anything it links to."""
-    return -(-NUMERATOR * n // DENOMINATOR)
-
-
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Exact test on sorted distinct tokens."""
-    if NUMERATOR * max(len(a), len(b)) > DENOMINATOR * min(len(a), len(b)):
-        return False
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int((b[at] == a).sum())
-    return DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both)
-
-
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens in each slot; half as many bits as tokens, rounded up to a power of two."""
-    bits = 1 << max(6, (len(tokens) // 2).bit_length())
+    """Parity of the tokens in each slot; as many bits as tokens, rounded up to a power of two."""
+    bits = 1 << max(6, len(tokens).bit_length())
     odd = np.bincount((tokens >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
+def may_link(rule: Rule, a: np.ndarray, b: np.ndarray, n: np.ndarray, words: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Which pairs of rows (a, b) can still link by sizes and sketches (row r: words[r] words of ``flat`` at at[r])."""
-    out = NUMERATOR * np.maximum(n[a], n[b]) <= DENOMINATOR * np.minimum(n[a], n[b])
-    most = (DENOMINATOR - NUMERATOR) * (n[a] + n[b]) // (DENOMINATOR + NUMERATOR)  # tokens that linked sets may differ in
+    out, most = rule.fits(n[a], n[b]), rule.differ(n[a] + n[b])
     width = np.minimum(words[a], words[b])
 
     def folded(rows, w):
@@ -127,7 +141,7 @@ def unsix(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
-def token_counts(chunks: Chunks) -> np.ndarray:
+def token_counts(chunks: Chunks, rule: Rule) -> np.ndarray:
     """Documents by token slot, over the whole corpus: a table of fixed size (saturating uint16)."""
     size, width = 1 << COUNT_BITS, (1 << COUNT_BITS) // COUNT_SLICES
 
@@ -136,7 +150,7 @@ def token_counts(chunks: Chunks) -> np.ndarray:
         for batch in batches:
             for r in range(batch.num_rows):
                 _, _, data, off = unpack(batch, r)
-                sets = [short(s) for s in shingle_sets(data, off)]
+                sets = [short(s) for s in shingle_sets(data, off, rule.words)]
                 slots = (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
                 total += np.bincount(slots, minlength=size)
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -157,7 +171,7 @@ def token_counts(chunks: Chunks) -> np.ndarray:
     return out
 
 
-def profiles(chunks: Chunks) -> DataFrame:
+def profiles(chunks: Chunks, rule: Rule) -> DataFrame:
     """doc_id, chunk, idx, n, fp, sig, keys of every document."""
 
     def each(batches):
@@ -165,7 +179,7 @@ def profiles(chunks: Chunks) -> DataFrame:
             for r in range(batch.num_rows):
                 ids, _, data, off = unpack(batch, r)
                 fps, sigs, keys, sizes = [], [], [], []
-                for s in shingle_sets(data, off):
+                for s in shingle_sets(data, off, rule.words):
                     sizes.append(len(s))
                     fps.append(hashlib.md5(s.tobytes()).digest())
                     sigs.append(sketch(s))
@@ -177,7 +191,7 @@ def profiles(chunks: Chunks) -> DataFrame:
     return chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(each, "doc_id long, chunk long, idx int, n long, fp binary, sig binary, keys array<long>")
 
 
-def ship(chunks: Chunks, requests: DataFrame) -> DataFrame:
+def ship(chunks: Chunks, rule: Rule, requests: DataFrame) -> DataFrame:
     """Token sets to where they are compared: requests (chunk, idx, target, salt, query) -> + doc_id, tokens."""
     asked = requests.groupBy("chunk").agg(F.collect_list(F.struct("idx", "target", "salt", "query")).alias("asked"))
     schema = "target long, salt int, query boolean, doc_id long, tokens binary"
@@ -189,7 +203,7 @@ def ship(chunks: Chunks, requests: DataFrame) -> DataFrame:
                 asked = batch.column(batch.schema.get_field_index("asked"))[r].as_py()
                 wanted = np.unique([x["idx"] for x in asked])
                 size = off[wanted + 1] - off[wanted]
-                sets = shingle_sets(data[ragged(off[wanted], size)], np.concatenate(([0], np.cumsum(size))))
+                sets = shingle_sets(data[ragged(off[wanted], size)], np.concatenate(([0], np.cumsum(size))), rule.words)
                 done = {int(i): six(short(x)) for i, x in zip(wanted, sets, strict=True)}
                 for begin in range(0, len(asked), 1000):
                     rows = asked[begin : begin + 1000]
@@ -203,7 +217,7 @@ def _sides(group) -> tuple[list, list]:
     return [(d, unsix(t)) for q, d, t in rows if not q], [(d, unsix(t)) for q, d, t in rows if q]
 
 
-def open_group(group):
+def open_group(rule: Rule, group):
     """Queries against one group: bound by the union of its members' tokens, then compare."""
     members, queries = _sides(group)
     a, b = [], []
@@ -211,25 +225,25 @@ def open_group(group):
         union = np.unique(np.concatenate([t for _, t in members]))
         for q, tokens in queries:
             at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-            if int((union[at] == tokens).sum()) < needed(len(tokens)):
+            if int((union[at] == tokens).sum()) < rule.needed(len(tokens)):
                 continue  # the group does not qualify
-            found = next((m for m, t in members if links(tokens, t)), None)
+            found = next((m for m, t in members if rule.links(tokens, t)), None)
             if found is not None:
                 a.append(q)
                 b.append(found)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _plausible(batches):
+def _plausible(rule: Rule, batches):
     """Rows whose document may link to the head beside it."""
     for batch in batches:
         rows = batch.num_rows
         n = np.concatenate([np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("n", "h_n")])
-        ok = may_link(np.arange(rows), np.arange(rows, 2 * rows), n, *sketches([batch.column(batch.schema.get_field_index(c)) for c in ("sig", "h_sig")]))
+        ok = may_link(rule, np.arange(rows), np.arange(rows, 2 * rows), n, *sketches([batch.column(batch.schema.get_field_index(c)) for c in ("sig", "h_sig")]))
         yield batch.filter(pa.array(ok))
 
 
-def close_pairs(group):
+def close_pairs(rule: Rule, group):
     """Rows (token, side, chunk, idx, n, label, members, block, sig) -> (document, group) candidates.
 
     Pairs of rows with one token, of different clusters, that may link; the document is of the
@@ -249,7 +263,7 @@ def close_pairs(group):
         a, b = np.repeat(rows, partners[rows]), ragged(rows + 1, partners[rows])
         keep = (col["label"][a] != col["label"][b]) & ((col["side"][a] != col["side"][b]) | (col["side"][a] == 0))
         a, b = a[keep], b[keep]
-        keep = may_link(a, b, col["n"], words, at, flat)
+        keep = may_link(rule, a, b, col["n"], words, at, flat)
         a, b = a[keep], b[keep]
         swap = (col["members"][a] > col["members"][b]) | ((col["members"][a] == col["members"][b]) & (col["label"][a] > col["label"][b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -275,22 +289,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_size: int = 128, member_rows: int = 1024) -> DataFrame:
+def link_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", group_size: int = 128, member_rows: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     chunks = Chunks(docs, id_col, text_col)
     spark = chunks.spark
-    profile = stored(profiles(chunks), "profiles")
+    profile = stored(profiles(chunks, rule), "profiles")
     classes = stored(profile.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "sig", "keys")).alias("r")).select("fp", "r.*"), "classes")
 
     # Groups: compare each class with the least one of its keys.
     keyed = classes.select("doc_id", "chunk", "idx", "n", "sig", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "sig")).alias("h"), F.count("*").alias("size")).where("size > 1")
     pairs = keyed.join(heads, "key").where("doc_id <> h.doc_id").select("chunk", "idx", "n", "sig", F.col("h.doc_id").alias("target"), F.col("h.chunk").alias("h_chunk"), F.col("h.idx").alias("h_idx"), F.col("h.n").alias("h_n"), F.col("h.sig").alias("h_sig"))
-    members = stored(pairs.mapInArrow(_plausible, pairs.schema).select("chunk", "idx", "target", "h_chunk", "h_idx").distinct(), "members")
+    members = stored(pairs.mapInArrow(partial(_plausible, rule), pairs.schema).select("chunk", "idx", "target", "h_chunk", "h_idx").distinct(), "members")
     sizes = members.groupBy("target", "h_chunk", "h_idx").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / member_rows).cast("int"))
     asked = members.join(sizes.select("target", "salts"), "target").select("chunk", "idx", "target", F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
     asked = asked.union(sizes.select(F.col("h_chunk").alias("chunk"), F.col("h_idx").alias("idx"), "target", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
-    near = stored(ship(chunks, asked).groupBy("target", "salt").applyInArrow(open_group, "a long, b long"), "near")
+    near = stored(ship(chunks, rule, asked).groupBy("target", "salt").applyInArrow(lambda group: open_group(rule, group), "a long, b long"), "near")
     several = profile.where("n > 0").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
     shared_ids = profile.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), "fp").join(classes.select("fp", F.col("doc_id").alias("b")), "fp").select("a", "b")
     label = components(near.union(shared_ids))
@@ -299,7 +313,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = stored(labelled.join(cluster, "label").withColumn("block", F.pmod(F.xxhash64("chunk", "idx"), F.ceil(F.col("members") / group_size).cast("long")).cast("int")), "groups")
 
     # Candidate groups: rare tokens that several clusters hold.
-    counts = spark.sparkContext.broadcast(token_counts(chunks))
+    counts = spark.sparkContext.broadcast(token_counts(chunks, rule))
     parts = chunks.parts(chunks.bytes, 64 << 20)
 
     def rare(batches):
@@ -308,11 +322,11 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for r in range(batch.num_rows):
                 _, _, data, off = unpack(batch, r)
                 known = {x["idx"]: x["label"] for x in batch.column(batch.schema.get_field_index("info"))[r].as_py()}
-                sets, tokens, idx, label = shingle_sets(data, off), [], [], []
+                sets, tokens, idx, label = shingle_sets(data, off, rule.words), [], [], []
                 for i, own in known.items():
                     t = short(sets[i])
                     order = np.lexsort((t, table[(t & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]))
-                    first = t[order[: len(t) - needed(len(t)) + 1]]
+                    first = t[order[: len(t) - rule.needed(len(t)) + 1]]
                     tokens.append(first)
                     idx.append(np.full(len(first), i, np.int32))
                     label.append(np.full(len(first), own, np.int64))
@@ -348,7 +362,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.withColumn("split", (low * F.col("blocks") + high).cast("long")).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "split"), F.lit(parts))).select("part", "token", "split", "side", "chunk", "idx", "n", "label", "members", "block", "sig")
-    candidates = stored(dealt.groupBy("part").applyInArrow(close_pairs, "chunk long, idx int, g_label long, g_block int").distinct(), "candidates")
+    candidates = stored(dealt.groupBy("part").applyInArrow(lambda group: close_pairs(rule, group), "chunk long, idx int, g_label long, g_block int").distinct(), "candidates")
 
     # Matrix rows, bounds, and opened groups.
     asked_groups = candidates.groupBy("g_label", "g_block").agg(F.count("*").alias("queries")).withColumn("salts", F.ceil(F.col("queries") / member_rows).cast("int"))
@@ -356,7 +370,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = candidates.join(asked_groups, ["g_label", "g_block"]).select("chunk", "idx", target, F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
     rows = grouped.select("chunk", "idx", F.col("label").alias("g_label"), F.col("block").alias("g_block")).join(asked_groups, ["g_label", "g_block"])
     wanted = wanted.union(rows.select("chunk", "idx", target, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
-    far = stored(ship(chunks, wanted).groupBy("target", "salt").applyInArrow(open_group, "a long, b long"), "far")
+    far = stored(ship(chunks, rule, wanted).groupBy("target", "salt").applyInArrow(lambda group: open_group(rule, group), "a long, b long"), "far")
 
     # Components of clusters, then of documents.
     of_class = grouped.select("fp", F.col("doc_id").alias("node"), "label")
@@ -370,7 +384,10 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("label", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (the one with the least id), columns unchanged; empty texts stay."""
-    linked = link_classes(docs, id_col, text_col).where("component_id = doc_id OR component_id IS NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(linked, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component (the one with the least id), columns unchanged; empty texts stay.
+
+    Rows of one id stay or go together, those without an id together as well.
+    """
+    extra = link_classes(docs, rule, id_col, text_col).where("component_id IS NOT NULL AND (doc_id IS NULL OR component_id <> doc_id)")
+    return docs.join(extra.select(F.col("doc_id").alias("__extra_id")).distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__extra_id")), "left_anti")

@@ -74,11 +74,11 @@ def word_repeats(docs):
     return [(doc, len(s), sum(m), sha(" ".join(w for w, x in zip(s, m, strict=True) if not x))) for doc, s, m in repeats(docs, 50, lambda t: re.findall(r"[^\x20\x09-\x0D]+", t))]
 
 
-def jaccard_classes(docs):
+def jaccard_classes(docs, n=3, percent=90):
     sets = {}
     for row, (doc, text) in enumerate(docs):
         ws = re.findall(r"[^\x20\x09-\x0D]+", lower(text or ""))
-        sets[row] = {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)} if len(ws) >= 3 else {tuple(ws)} if ws else set()
+        sets[row] = {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)} if len(ws) >= n else {tuple(ws)} if ws else set()
     parent = {doc: doc for doc, _ in docs}
 
     def find(x):
@@ -88,7 +88,7 @@ def jaccard_classes(docs):
 
     for a, sa in sets.items():
         for b, sb in sets.items():
-            if a < b and sa and sb and 100 * len(sa & sb) >= 90 * len(sa | sb):
+            if a < b and sa and sb and 100 * len(sa & sb) >= percent * len(sa | sb):
                 x, y = find(docs[a][0]), find(docs[b][0])
                 if x != y:
                     parent[max(x, y)] = min(x, y)

@@ -208,8 +208,9 @@ def test_ngram_chains(spark, documents, monkeypatch, block, pairs):
         rows.append((1000 + k, " ".join([*base[:150], *(f"u{k}" for _ in range(1)), *base[150:]])))
     path = documents(rows)
     docs = common.table(spark, path, "documents")
-    got = collected(ngram_groups.link_classes(docs, group_size=8, member_rows=16), "doc_id", "n_shingles", "component_id")
-    assert got == sorted(brute.jaccard_classes(rows), key=repr)
+    for rule in (ngram_groups.Rule(), ngram_groups.Rule(5, 80)):
+        got = collected(ngram_groups.link_classes(docs, rule, group_size=8, member_rows=16), "doc_id", "n_shingles", "component_id")
+        assert got == sorted(brute.jaccard_classes(rows, rule.words, rule.percent), key=repr)
     kept = ngram_groups.keep_one(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {c for _, _, c in got}
 
@@ -224,8 +225,9 @@ def test_sketches_bound_differences():
             sets.append(np.unique(np.concatenate((base[lost:], r.integers(0, 1 << 63, lost // 2, dtype=np.uint64)))))
     words, at, flat = ngram_groups.sketches([pa.array([ngram_groups.sketch(s) for s in sets], pa.binary())])
     a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
-    maybe = ngram_groups.may_link(a, b, np.asarray([len(s) for s in sets]), words, at, flat)
-    true = np.asarray([len(sets[x]) > 0 and len(sets[y]) > 0 and ngram_groups.links(sets[x], sets[y]) for x, y in zip(a, b, strict=True)])
+    rule = ngram_groups.Rule()
+    maybe = ngram_groups.may_link(rule, a, b, np.asarray([len(s) for s in sets]), words, at, flat)
+    true = np.asarray([len(sets[x]) > 0 and len(sets[y]) > 0 and rule.links(sets[x], sets[y]) for x, y in zip(a, b, strict=True)])
     assert not (true & ~maybe).any() and true.sum() > len(sets) and maybe.sum() < 1.6 * true.sum()
 
 
