@@ -35,6 +35,8 @@ from .common import id_and_text, slices, stored, utf8_view
 #: Byte kinds: each ASCII mark by itself, then digits, capitals, small letters, blanks, line ends, controls, others.
 MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 LAGS = (1, 2, 3, 4)
+#: Bytes added to every length, so that a few marks in a very short text weigh less.
+SHORT = 40
 
 
 def _kinds() -> tuple[np.ndarray, np.ndarray, int]:
@@ -54,7 +56,7 @@ N_FEATURES = N_FINE + 36 + 1 + len(LAGS) + 2
 def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of N_FEATURES for each document of a run."""
     n, size = len(off) - 1, np.diff(off)
-    total = np.maximum(size, 1)[:, None].astype(np.float64)
+    total = (size + SHORT)[:, None].astype(np.float64)
     doc = np.repeat(np.arange(n), size)
     fine = np.bincount(doc * N_FINE + FINE[data], minlength=n * N_FINE).reshape(n, N_FINE) / total
     kind = COARSE[data]
@@ -63,7 +65,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     echo = np.bincount(doc[1:][inside & (data[1:] == data[:-1])], minlength=n)[:, None] / total
     starts, ends, first = tv.words(data, off, tv.SPACED_LOWER)
     hashes = tv.word_hashes(data, starts, ends, tv.SPACED_LOWER)
-    count = np.maximum(np.diff(first), 1)[:, None].astype(np.float64)
+    count = (np.diff(first) + SHORT / 5)[:, None].astype(np.float64)
     owner = np.repeat(np.arange(n), np.diff(first))
     lags = []
     for lag in LAGS:
