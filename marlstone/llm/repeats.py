@@ -25,6 +25,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,15 +150,17 @@ class Anchored:
         np.maximum.at(most, self.inverse, self.run_ids())
         return self.distinct << np.uint64(1) | (least != most).astype(np.uint64)
 
-    def repeated(self, reply: list[tuple[int, bytes]], parts: int) -> np.ndarray:
-        """Runs whose anchor hash occurs in several documents."""
+    def repeated(self, reply: list[tuple[int, bytes]], parts: int, heavy: bool = False) -> np.ndarray:
+        """Runs whose anchor hash occurs in several documents, or, of those, in very many chunks."""
         if not len(self.anchor):
             return np.zeros(0, np.int64)
         part = part_of(self.distinct, parts, 47)
         marks = np.zeros(len(self.distinct), bool)
         for p, bits in reply:
-            lo, hi = np.searchsorted(part, p), np.searchsorted(part, p, "right")
-            marks[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
+            if (p >= parts) == heavy:
+                p %= parts
+                lo, hi = np.searchsorted(part, p), np.searchsorted(part, p, "right")
+                marks[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
         return np.flatnonzero(marks[self.inverse])
 
     def covered(self, removed: np.ndarray) -> np.ndarray:
@@ -192,8 +195,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def repeated_anchors(chunks: Chunks, anchored, parts: int) -> DataFrame:
-    """Pass 1: (chunk, part, bits) for the chunks' distinct anchors that several documents hold."""
+def repeated_anchors(chunks: Chunks, anchored, parts: int, heavy_chunks: int | None = None) -> DataFrame:
+    """Pass 1: (chunk, part, bits) for the chunks' distinct anchors that several documents hold.
+
+    With ``heavy_chunks``, further rows (part + parts) mark those that more chunks hold.
+    """
 
     def send(batches):
         for batch in batches:
@@ -213,7 +219,11 @@ def repeated_anchors(chunks: Chunks, anchored, parts: int) -> DataFrame:
         _, inverse, count = np.unique(value >> np.uint64(1), return_inverse=True, return_counts=True)
         several = count > 1
         several[inverse[value & np.uint64(1) == 1]] = True
-        return replies(group, edges, several[inverse])
+        out = replies(group, edges, several[inverse])
+        if heavy_chunks is None or not (count > heavy_chunks).any():
+            return out
+        heavy = replies(group, edges, (count > heavy_chunks)[inverse])
+        return pa.concat_tables([out, heavy.set_column(1, "part", pc.add(heavy.column("part"), pa.scalar(parts, pa.int32())))])
 
     sent = chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(send, "part int, chunk long, sent binary")
     return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, bits binary")

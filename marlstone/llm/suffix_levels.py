@@ -92,46 +92,56 @@ def first_documents(text: np.ndarray, counts: np.ndarray, ids: np.ndarray, windo
 
 
 class SentRuns:
-    """Runs of repeated anchors in a chunk, equal ones combined under their least document id."""
-
-    def __init__(self, a: Anchored, runs: np.ndarray):
-        self.a, self.runs = a, runs
-        begin = a.starts[a.run_at[runs]]
-        length = a.run_len[runs] + a.window - 1
-        ids = a.run_ids()[runs]
-        content = tv.mix(tv.span_hash(tv.prefix_hash(a.symbols), begin, begin + length) + length.astype(np.uint64)) if len(runs) else np.zeros(0, np.uint64)
-        order = np.lexsort((ids, content, a.anchor[runs]))
-        c, n = content[order], a.anchor[runs][order]
+    """Runs of repeated anchors in a chunk, equal ones combined under their least document id.
+
+    Runs of heavy anchors are taken apart into single windows, dealt by their own content: however
+    many documents hold such an anchor, each in its own surroundings, no part receives them all.
+    """
+
+    def __init__(self, a: Anchored, runs: np.ndarray, heavy: np.ndarray):
+        runs = np.setdiff1d(runs, heavy)
+        alone = ragged(a.run_at[heavy], a.run_len[heavy])
+        owner = np.concatenate((runs, np.repeat(heavy, a.run_len[heavy])))
+        self.at = np.concatenate((a.run_at[runs], alone))  # first window, and number of windows
+        self.size = np.concatenate((a.run_len[runs], np.ones(len(alone), np.int64)))
+        begin, length = a.starts[self.at], self.size + a.window - 1
+        self.ids = a.run_ids()[owner]
+        content = tv.mix(tv.span_hash(tv.prefix_hash(a.symbols), begin, begin + length) + length.astype(np.uint64)) if len(owner) else np.zeros(0, np.uint64)
+        deal = np.concatenate((a.anchor[runs], content[len(runs) :] >> np.uint64(17)))
+        order = np.lexsort((self.ids, content, deal))
+        c, n = content[order], deal[order]
         new = np.ones(len(order), bool)
         new[1:] = (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-        heads = order[new]  # a least document of each distinct run, by anchor
+        heads = order[new]  # a least document of each distinct run
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
-        self.anchor, self.begin, self.length = a.anchor[runs][heads], begin[heads], length[heads]
-        self.count, self.least, self.ids = a.run_len[runs][heads], ids[heads], ids
+        self.deal, self.begin, self.length = deal[heads], begin[heads], length[heads]
+        self.count, self.least = self.size[heads], self.ids[heads]
 
     def removed(self, reply: list[tuple[int, bytes]], parts: int) -> np.ndarray:
         """Window places (among the chunk's window starts) to remove."""
         edges = np.concatenate(([0], np.cumsum(self.count)))
         marks = np.zeros(edges[-1], bool)
-        part = part_of(self.anchor, parts, 47)
+        part = part_of(self.deal, parts, 47)
         for p, bits in reply:
             lo, hi = edges[np.searchsorted(part, p)], edges[np.searchsorted(part, p, "right")]
             marks[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
-        lens = self.a.run_len[self.runs]
-        gone = marks[ragged(edges[self.group], lens)] | np.repeat(self.ids > self.least[self.group], lens)
-        return ragged(self.a.run_at[self.runs], lens)[gone]
+        gone = marks[ragged(edges[self.group], self.size)] | np.repeat(self.ids > self.least[self.group], self.size)
+        return ragged(self.at, self.size)[gone]
 
 
-def find(docs: DataFrame, window: int = 50, seed: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document, SCHEMA."""
+def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, SCHEMA.  ``heavy_chunks`` changes how work is dealt, never results."""
     chunks = Chunks(docs, id_col, text_col)
     parts1, parts2 = chunks.parts(chunks.bytes, 64 << 20), chunks.parts(chunks.bytes, 2 << 20)
 
     def anchored(ids, nulls, data, off):
         return Anchored(data.astype(np.uint64) + np.uint64(1), off, ids, window, seed)
 
-    level1 = stored(repeated_anchors(chunks, anchored, parts1), "anchors")
+    def chosen(a, reply):
+        return SentRuns(a, a.repeated(reply, parts1), a.repeated(reply, parts1, heavy=True))
+
+    level1 = stored(repeated_anchors(chunks, anchored, parts1, heavy_chunks), "anchors")
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -139,8 +149,8 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, id_col: str = "doc_i
             for r in range(batch.num_rows):
                 ids, nulls, data, off = unpack(batch, r)
                 a = anchored(ids, nulls, data, off)
-                sent = SentRuns(a, a.repeated(reply_of(batch, r, "reply0"), parts1))
-                part, edges = stretches(part_of(sent.anchor, parts2, 47))
+                sent = chosen(a, reply_of(batch, r, "reply0"))
+                part, edges = stretches(part_of(sent.deal, parts2, 47))
                 texts = [squeeze(data[ragged(sent.begin[x:y], sent.length[x:y])].tobytes()) for x, y in edges]
                 table = [squeeze(np.concatenate((sent.count[x:y], sent.least[x:y])).astype(np.int64).tobytes()) for x, y in edges]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(edges), pa.int64()), pa.array(table, pa.binary()), pa.array(texts, pa.binary())], ["part", "chunk", "runs", "text"])
@@ -161,7 +171,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, id_col: str = "doc_i
             for r in range(batch.num_rows):
                 ids, nulls, data, off = unpack(batch, r)
                 a = anchored(ids, nulls, data, off)
-                gone = a.covered(SentRuns(a, a.repeated(reply_of(batch, r, "reply0"), parts1)).removed(reply_of(batch, r, "reply1"), parts2))
+                gone = a.covered(chosen(a, reply_of(batch, r, "reply0")).removed(reply_of(batch, r, "reply1"), parts2))
                 starts = gone.copy()
                 starts[1:] &= ~gone[:-1]
                 inner = off[:-1][off[:-1] < len(gone)]

@@ -133,11 +133,12 @@ def test_decontamination(spark, case):
     assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.select("doc_id").collect()), key=repr) == sorted((w[0] for w in want if not w[5]), key=repr)
 
 
-@pytest.mark.parametrize("chunk", [2 << 20, 4000])
-def test_suffix_levels(spark, case, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk,heavy", [(2 << 20, 1024), (4000, 1024), (1000, 2)])
+def test_suffix_levels(spark, case, chunk, heavy, monkeypatch):
     rows, path = case
     monkeypatch.setattr(suffix_levels.Chunks.__init__, "__defaults__", ("doc_id", "text", chunk))
     monkeypatch.setattr(suffix_levels, "BATCH_SUFFIXES", 100)
+    monkeypatch.setattr(suffix_levels.find, "__defaults__", (50, 24, heavy, "doc_id", "text"))
     got = collected(queries.op7_suffix_levels(spark, path), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.byte_repeats(rows), key=repr)
 
