@@ -46,6 +46,8 @@ from .repeats import LAST_ID, Chunks, part_of, ragged, stretches, unpack
 
 COUNT_BITS, COUNT_SLICES = 22, 64
 BLOCK, PAIRS = 4096, 1 << 20
+#: Ids that may be broadcast (8 MB); more are joined by shuffling.
+BROADCAST_IDS = 1 << 20
 KEYS, PER_KEY = 4, 2
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
@@ -73,6 +75,10 @@ class Rule:
         both = int((b[at] == a).sum())
         return 100 * both >= self.percent * (len(a) + len(b) - both)
 
+    def size_class(self, n: int) -> int:
+        """Sizes that fit are of one class or of neighbours."""
+        return int(np.log(max(n, 1)) / np.log(100 / min(self.percent, 90)) + 1e-9)
+
     def differ(self, n):
         """Most tokens in which linked sets of together ``n`` tokens differ."""
         return (100 - self.percent) * n // (100 + self.percent)
@@ -328,37 +334,51 @@ def link_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
                     order = np.lexsort((t, table[(t & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]))
                     first = t[order[: len(t) - rule.needed(len(t)) + 1]]
                     tokens.append(first)
-                    idx.append(np.full(len(first), i, np.int32))
+                    idx.append(np.full(len(first), i, np.uint32))
                     label.append(np.full(len(first), own, np.int64))
                 if not tokens:
                     continue
                 tokens, idx, label = map(np.concatenate, (tokens, idx, label))
                 order = np.argsort(tokens, kind="stable")
                 tokens, idx, label = tokens[order], idx[order], label[order]
+                kind = np.asarray([rule.size_class(len(x)) for x in sets], np.uint8)[idx]
+                places = idx.astype(np.uint16) if len(sets) < 65536 else idx
                 part, rows = stretches(part_of(tokens, parts, 48))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), pa.array([six(tokens[x:y]) for x, y in rows], pa.binary()), pa.array([idx[x:y].tobytes() for x, y in rows], pa.binary()), pa.array([label[x:y].tobytes() for x, y in rows], pa.binary())], ["part", "chunk", "tokens", "idx", "label"])
+                sent = [b"".join((six(tokens[x:y]), label[x:y].tobytes(), kind[x:y].tobytes(), places[x:y].tobytes())) for x, y in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), pa.array([y - x for x, y in rows], pa.int32()), pa.array(sent, pa.binary())], ["part", "chunk", "size", "sent"])
 
     def shared(group):
-        tokens = [unsix(x.as_py()) for x in group.column("tokens")]
-        chunk = np.repeat(np.asarray(group.column("chunk")), [len(x) for x in tokens])
-        tokens = np.concatenate(tokens)
-        idx = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in group.column("idx")])
-        label = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("label")])
-        order = np.lexsort((label, tokens))
+        """Entries of tokens that several clusters hold, with a holder of like size; heavy tokens in blocks."""
+        tokens, label, kind, idx = [], [], [], []
+        size = np.asarray(group.column("size"))
+        for n, raw in zip(size.tolist(), group.column("sent").to_pylist(), strict=True):
+            tokens.append(unsix(raw[: 6 * n]))
+            label.append(np.frombuffer(raw[6 * n : 14 * n], np.int64))
+            kind.append(np.frombuffer(raw[14 * n : 15 * n], np.uint8).astype(np.int64))
+            idx.append(np.frombuffer(raw[15 * n :], np.uint16 if len(raw) == 17 * n else np.uint32).astype(np.int64))
+        tokens, label, kind, idx = map(np.concatenate, (tokens, label, kind, idx))
+        chunk = np.repeat(np.asarray(group.column("chunk")), size)
+        order = np.lexsort((label, kind, tokens))
+        t, k = tokens[order], kind[order]
+        near = (t[1:] == t[:-1]) & (k[1:] - k[:-1] <= 1)
+        order = order[np.append(near, False) | np.append(False, near)]
+        order = order[np.lexsort((label[order], tokens[order]))]
+        if not len(order):
+            return pa.table({"token": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "idx": pa.array([], pa.int32()), "blocks": pa.array([], pa.int32())})
         t, own = tokens[order], label[order]
         start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        end = np.append(start[1:], len(t))
-        several = np.repeat(own[start] != own[end - 1], end - start)
+        count = np.diff(np.append(start, len(t)))
+        several = np.repeat(own[start] != own[start + count - 1], count)
+        blocks = np.repeat(-(-count // BLOCK), count)[several]
         keep = order[several]
-        return pa.table({"token": pa.array(tokens[keep].astype(np.int64)), "chunk": pa.array(chunk[keep], pa.int64()), "idx": pa.array(idx[keep], pa.int32())})
+        return pa.table({"token": pa.array(tokens[keep].astype(np.int64)), "chunk": pa.array(chunk[keep], pa.int64()), "idx": pa.array(idx[keep].astype(np.int32)), "blocks": pa.array(blocks.astype(np.int32))})
 
     info = grouped.groupBy("chunk").agg(F.collect_list(F.struct("idx", "label")).alias("info"))
-    sent = chunks.table.select("chunk", "ids", "nulls", "ends", "data").join(info, "chunk").mapInArrow(rare, "part int, chunk long, tokens binary, idx binary, label binary")
-    hits = sent.groupBy("part").applyInArrow(shared, "token long, chunk long, idx int")
-    hits = stored(hits.join(grouped.select("chunk", "idx", "n", "sig", "label", "members", "block"), ["chunk", "idx"]), "hits")
-    heavy = hits.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sent = chunks.table.select("chunk", "ids", "nulls", "ends", "data").join(info, "chunk").mapInArrow(rare, "part int, chunk long, size int, sent binary")
+    hits = sent.groupBy("part").applyInArrow(shared, "token long, chunk long, idx int, blocks int")
+    hits = hits.join(grouped.select("chunk", "idx", "n", "sig", "label", "members", "block"), ["chunk", "idx"])
     own = F.pmod(F.xxhash64("chunk", "idx"), F.col("blocks")).cast("int")
-    dealt = hits.join(heavy, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = hits.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.withColumn("split", (low * F.col("blocks") + high).cast("long")).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "split"), F.lit(parts))).select("part", "token", "split", "side", "chunk", "idx", "n", "label", "members", "block", "sig")
@@ -390,4 +410,6 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), id_col: str = "doc_id",
     Rows of one id stay or go together, those without an id together as well.
     """
     extra = link_classes(docs, rule, id_col, text_col).where("component_id IS NOT NULL AND (doc_id IS NULL OR component_id <> doc_id)")
-    return docs.join(extra.select(F.col("doc_id").alias("__extra_id")).distinct(), F.col(id_col).cast("long").eqNullSafe(F.col("__extra_id")), "left_anti")
+    extra = stored(extra.select(F.col("doc_id").alias("__extra_id")).distinct(), "extra")
+    extra = F.broadcast(extra) if extra.count() <= BROADCAST_IDS else extra.hint("merge")
+    return docs.join(extra, F.col(id_col).cast("long").eqNullSafe(F.col("__extra_id")), "left_anti")
