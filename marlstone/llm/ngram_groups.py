@@ -23,8 +23,9 @@ near copies cost one comparison each; groups and their query lists are split to
 Tokens are 64-bit hashes for counting and class identity, 48-bit ones in comparisons.
 
 Defined cases: null and wordless texts have the empty set and are their own component; fewer than
-n words are one shingle; rows that share an id count as one document; a null id is the greatest and
-its component is null if nothing else reaches it; an empty table gives no rows.
+n words are one shingle; rows that share an id are of one component (not in ``keep_one``, which goes
+by row); a null id is the greatest, joins no rows, and its component is null if no other id is in it;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ from .repeats import LAST_ID, Chunks, part_of, ragged, stretches, unpack
 
 COUNT_BITS, COUNT_SLICES = 22, 64
 BLOCK, PAIRS = 4096, 1 << 20
-#: Ids that may be broadcast (8 MB); more are joined by shuffling.
-BROADCAST_IDS = 1 << 20
+#: Rows to drop that may be broadcast (8 MB of ids and text digests); more are joined by shuffling.
+BROADCAST_ROWS = (8 << 20) // 24
 KEYS, PER_KEY = 4, 2
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 
@@ -177,8 +178,8 @@ def token_counts(chunks: Chunks, rule: Rule) -> np.ndarray:
     return out
 
 
-def profiles(chunks: Chunks, rule: Rule) -> DataFrame:
-    """doc_id, chunk, idx, n, fp, sig, keys of every document."""
+def profiles(chunks: Chunks, rule: Rule, by_row: bool = False) -> DataFrame:
+    """doc_id, chunk, idx, n, fp, text, sig, keys of every document; text is its digest (empty if not ``by_row``)."""
 
     def each(batches):
         for batch in batches:
@@ -192,20 +193,21 @@ def profiles(chunks: Chunks, rule: Rule) -> DataFrame:
                     least = [int(tv.mix(s ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))).min()) for j in range(KEYS * PER_KEY)] if len(s) else []
                     keys.append([hash((k, *least[k * PER_KEY : (k + 1) * PER_KEY])) for k in range(KEYS)] if least else [])
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "chunk", "idx", "n", "fp", "sig", "keys"])
+                texts = [hashlib.md5(data[a:b]).digest() if by_row else b"" for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([batch.column(0)[r].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(texts, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "chunk", "idx", "n", "fp", "text", "sig", "keys"])
 
-    return chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(each, "doc_id long, chunk long, idx int, n long, fp binary, sig binary, keys array<long>")
+    return chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(each, "doc_id long, chunk long, idx int, n long, fp binary, text binary, sig binary, keys array<long>")
 
 
 def ship(chunks: Chunks, rule: Rule, requests: DataFrame) -> DataFrame:
-    """Token sets to where they are compared: requests (chunk, idx, target, salt, query) -> + doc_id, tokens."""
-    asked = requests.groupBy("chunk").agg(F.collect_list(F.struct("idx", "target", "salt", "query")).alias("asked"))
-    schema = "target long, salt int, query boolean, doc_id long, tokens binary"
+    """Token sets to where they are compared: requests (chunk, idx, node, target, salt, query) -> target, salt, query, node, tokens."""
+    asked = requests.groupBy("chunk").agg(F.collect_list(F.struct("idx", "node", "target", "salt", "query")).alias("asked"))
+    schema = "target long, salt int, query boolean, node long, tokens binary"
 
     def each(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, _, data, off = unpack(batch, r)
+                _, _, data, off = unpack(batch, r)
                 asked = batch.column(batch.schema.get_field_index("asked"))[r].as_py()
                 wanted = np.unique([x["idx"] for x in asked])
                 size = off[wanted + 1] - off[wanted]
@@ -213,13 +215,13 @@ def ship(chunks: Chunks, rule: Rule, requests: DataFrame) -> DataFrame:
                 done = {int(i): six(short(x)) for i, x in zip(wanted, sets, strict=True)}
                 for begin in range(0, len(asked), 1000):
                     rows = asked[begin : begin + 1000]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["target"] for x in rows], pa.int64()), pa.array([x["salt"] for x in rows], pa.int32()), pa.array([x["query"] for x in rows], pa.bool_()), pa.array([ids[x["idx"]] for x in rows], pa.int64()), pa.array([done[x["idx"]] for x in rows], pa.binary())], ["target", "salt", "query", "doc_id", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x["target"] for x in rows], pa.int64()), pa.array([x["salt"] for x in rows], pa.int32()), pa.array([x["query"] for x in rows], pa.bool_()), pa.array([x["node"] for x in rows], pa.int64()), pa.array([done[x["idx"]] for x in rows], pa.binary())], ["target", "salt", "query", "node", "tokens"])
 
     return chunks.table.join(asked, "chunk").mapInArrow(each, schema)
 
 
 def _sides(group) -> tuple[list, list]:
-    rows = list(zip(group.column("query").to_pylist(), group.column("doc_id").to_pylist(), group.column("tokens").to_pylist(), strict=True))
+    rows = list(zip(group.column("query").to_pylist(), group.column("node").to_pylist(), group.column("tokens").to_pylist(), strict=True))
     return [(d, unsix(t)) for q, d, t in rows if not q], [(d, unsix(t)) for q, d, t in rows if q]
 
 
@@ -273,10 +275,10 @@ def close_pairs(rule: Rule, group):
         a, b = a[keep], b[keep]
         swap = (col["members"][a] > col["members"][b]) | ((col["members"][a] == col["members"][b]) & (col["label"][a] > col["label"][b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        found.append(np.stack((col["chunk"][a], col["idx"][a].astype(np.int64), col["label"][b], col["block"][b].astype(np.int64)), axis=1))
+        found.append(np.stack((col["chunk"][a], col["idx"][a].astype(np.int64), col["label"][a], col["label"][b], col["block"][b].astype(np.int64)), axis=1))
         begin = end
-    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
-    return pa.table({"chunk": pa.array(rows[:, 0]), "idx": pa.array(rows[:, 1].astype(np.int32)), "g_label": pa.array(rows[:, 2]), "g_block": pa.array(rows[:, 3].astype(np.int32))})
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 5), np.int64)
+    return pa.table({"chunk": pa.array(rows[:, 0]), "idx": pa.array(rows[:, 1].astype(np.int32)), "label": pa.array(rows[:, 2]), "g_label": pa.array(rows[:, 3]), "g_block": pa.array(rows[:, 4].astype(np.int32))})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,26 +297,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", group_size: int = 128, member_rows: int = 1024) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def shared_ids(profile: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes of each id that has several; rows without an id share none."""
+    own = profile.where(F.col("n") > 0).where(F.col("doc_id") != LAST_ID)
+    several = own.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id", "x")
+    pairs = own.join(several, "doc_id").where("fp <> x").select("fp", "x").distinct()
+    return pairs.join(classes.select("fp", F.col("node").alias("a")), "fp").join(classes.select(F.col("fp").alias("x"), F.col("node").alias("b")), "x").select("a", "b")
+
+
+def linked_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, group_size: int = 128, member_rows: int = 1024, by_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, n, text, and its component's least head (doc_id, text), null for the empty set.
+
+    Classes are linked by their sets alone if ``by_row``, else those that share an id as well.
+    """
     chunks = Chunks(docs, id_col, text_col)
     spark = chunks.spark
-    profile = stored(profiles(chunks, rule), "profiles")
-    classes = stored(profile.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "sig", "keys")).alias("r")).select("fp", "r.*"), "classes")
+    profile = stored(profiles(chunks, rule, by_row), "profiles")
+    classes = stored(profile.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text", "chunk", "idx", "n", "sig", "keys")).alias("r")).select(F.monotonically_increasing_id().alias("node"), "fp", "r.*"), "classes")
 
     # Groups: compare each class with the least one of its keys.
-    keyed = classes.select("doc_id", "chunk", "idx", "n", "sig", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "chunk", "idx", "n", "sig")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    pairs = keyed.join(heads, "key").where("doc_id <> h.doc_id").select("chunk", "idx", "n", "sig", F.col("h.doc_id").alias("target"), F.col("h.chunk").alias("h_chunk"), F.col("h.idx").alias("h_idx"), F.col("h.n").alias("h_n"), F.col("h.sig").alias("h_sig"))
-    members = stored(pairs.mapInArrow(partial(_plausible, rule), pairs.schema).select("chunk", "idx", "target", "h_chunk", "h_idx").distinct(), "members")
+    keyed = classes.select("node", "doc_id", "chunk", "idx", "n", "sig", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "node", "chunk", "idx", "n", "sig")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    pairs = keyed.join(heads, "key").where("node <> h.node").select("chunk", "idx", "node", "n", "sig", F.col("h.node").alias("target"), F.col("h.chunk").alias("h_chunk"), F.col("h.idx").alias("h_idx"), F.col("h.n").alias("h_n"), F.col("h.sig").alias("h_sig"))
+    members = stored(pairs.mapInArrow(partial(_plausible, rule), pairs.schema).select("chunk", "idx", "node", "target", "h_chunk", "h_idx").distinct(), "members")
     sizes = members.groupBy("target", "h_chunk", "h_idx").agg(F.count("*").alias("size")).withColumn("salts", F.ceil(F.col("size") / member_rows).cast("int"))
-    asked = members.join(sizes.select("target", "salts"), "target").select("chunk", "idx", "target", F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
-    asked = asked.union(sizes.select(F.col("h_chunk").alias("chunk"), F.col("h_idx").alias("idx"), "target", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
+    asked = members.join(sizes.select("target", "salts"), "target").select("chunk", "idx", "node", "target", F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
+    asked = asked.union(sizes.select(F.col("h_chunk").alias("chunk"), F.col("h_idx").alias("idx"), F.col("target").alias("node"), "target", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
     near = stored(ship(chunks, rule, asked).groupBy("target", "salt").applyInArrow(lambda group: open_group(rule, group), "a long, b long"), "near")
-    several = profile.where("n > 0").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    shared_ids = profile.where("n > 0").join(several, "doc_id").select(F.col("doc_id").alias("a"), "fp").join(classes.select("fp", F.col("doc_id").alias("b")), "fp").select("a", "b")
-    label = components(near.union(shared_ids))
-    labelled = classes.join(label, classes.doc_id == label.node, "left").select("fp", "doc_id", "chunk", "idx", "n", "sig", F.coalesce("label", "doc_id").alias("label"))
+    label = components(near if by_row else near.union(shared_ids(profile, classes))).withColumnRenamed("node", "l_node")
+    labelled = classes.join(label, F.col("node") == F.col("l_node"), "left").select("fp", "doc_id", "text", "chunk", "idx", "n", "sig", F.coalesce("label", "node").alias("label"))
     cluster = labelled.groupBy("label").agg(F.count("*").alias("members"))
     grouped = stored(labelled.join(cluster, "label").withColumn("block", F.pmod(F.xxhash64("chunk", "idx"), F.ceil(F.col("members") / group_size).cast("long")).cast("int")), "groups")
 
@@ -382,34 +393,47 @@ def link_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = dealt.withColumn("split", (low * F.col("blocks") + high).cast("long")).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "split"), F.lit(parts))).select("part", "token", "split", "side", "chunk", "idx", "n", "label", "members", "block", "sig")
-    candidates = stored(dealt.groupBy("part").applyInArrow(lambda group: close_pairs(rule, group), "chunk long, idx int, g_label long, g_block int").distinct(), "candidates")
+    candidates = stored(dealt.groupBy("part").applyInArrow(lambda group: close_pairs(rule, group), "chunk long, idx int, label long, g_label long, g_block int").distinct(), "candidates")
 
     # Matrix rows, bounds, and opened groups.
     asked_groups = candidates.groupBy("g_label", "g_block").agg(F.count("*").alias("queries")).withColumn("salts", F.ceil(F.col("queries") / member_rows).cast("int"))
     target = F.xxhash64("g_label", "g_block").alias("target")
-    wanted = candidates.join(asked_groups, ["g_label", "g_block"]).select("chunk", "idx", target, F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
+    wanted = candidates.join(asked_groups, ["g_label", "g_block"]).select("chunk", "idx", F.col("label").alias("node"), target, F.pmod(F.xxhash64("chunk", "idx"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("query"))
     rows = grouped.select("chunk", "idx", F.col("label").alias("g_label"), F.col("block").alias("g_block")).join(asked_groups, ["g_label", "g_block"])
-    wanted = wanted.union(rows.select("chunk", "idx", target, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
+    wanted = wanted.union(rows.select("chunk", "idx", F.col("g_label").alias("node"), target, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False)))
     far = stored(ship(chunks, rule, wanted).groupBy("target", "salt").applyInArrow(lambda group: open_group(rule, group), "a long, b long"), "far")
 
-    # Components of clusters, then of documents.
-    of_class = grouped.select("fp", F.col("doc_id").alias("node"), "label")
+    # Components of clusters (``far`` links their labels), then the least head of each.
+    of_class = grouped.select("fp", "doc_id", "text", "label")
     if not far.isEmpty():
-        by_doc = grouped.select("doc_id", "label")
-        ends = far.join(by_doc.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(by_doc.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
-        joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("root"))
-        of_class = of_class.join(joined, "label", "left").select("fp", F.coalesce("root", "label").alias("label"))
-    out = profile.join(of_class.select("fp", "label"), "fp", "left")
+        joined = components(far).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        of_class = of_class.join(joined, "label", "left").select("fp", "doc_id", "text", F.coalesce("root", "label").alias("label"))
+    heads = of_class.groupBy("label").agg(F.min(F.struct("doc_id", "text")).alias("head"))
+    return profile.select("doc_id", "n", "text", "fp").join(of_class.select("fp", "label").join(heads, "label").select("fp", "head"), "fp", "left").select("doc_id", "n", "text", "head")
+
+
+def link_classes(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", group_size: int = 128, member_rows: int = 1024) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    out = linked_rows(docs, rule, id_col, text_col, group_size, member_rows)
     real = lambda c: F.when(c != LAST_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("label", "doc_id")).alias("component_id"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("head.doc_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (the one with the least id), columns unchanged; empty texts stay.
+    """One row of each group of near copies (the one with the least id), columns unchanged; empty texts stay.
 
-    Rows of one id stay or go together, those without an id together as well.
+    Rows are told apart by id and text, so rows that share an id, or have none, stay or go by their
+    own texts; of rows alike in both one stays.
     """
-    extra = link_classes(docs, rule, id_col, text_col).where("component_id IS NOT NULL AND (doc_id IS NULL OR component_id <> doc_id)")
-    extra = stored(extra.select(F.col("doc_id").alias("__extra_id")).distinct(), "extra")
-    extra = F.broadcast(extra) if extra.count() <= BROADCAST_IDS else extra.hint("merge")
-    return docs.join(extra, F.col(id_col).cast("long").eqNullSafe(F.col("__extra_id")), "left_anti")
+    rows = linked_rows(docs, rule, id_col, text_col, by_row=True).where("head IS NOT NULL")
+    rows = rows.groupBy("doc_id", "text").agg(F.first("head").alias("head"), F.count("*").alias("rows"))
+    stays = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("text") == F.col("head.text"))
+    rows = stored(rows.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("__row_id"), F.col("text").alias("__row_text"), stays.alias("__stays")), "extra")
+    few = rows.count() <= BROADCAST_ROWS
+    own_id, own_text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.unhex(F.md5(F.col(text_col).cast("string")))
+    told = lambda r: F.broadcast(r.drop("__stays")) if few else r.drop("__stays").hint("merge")
+    same = (own_id == F.col("__row_id")) & (own_text == F.col("__row_text"))
+    out, twins = docs.join(told(rows), same, "left_anti"), rows.where("__stays")
+    if twins.isEmpty():
+        return out
+    return out.union(docs.join(told(twins), same).dropDuplicates(["__row_id", "__row_text"]).drop("__row_id", "__row_text"))

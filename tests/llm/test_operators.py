@@ -249,3 +249,16 @@ def test_bm25(spark, case):
             assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(sorted(got), sorted(want), strict=True))
     else:
         queries.op6_bm25_topk(spark, path).collect()
+
+
+def test_near_copies_by_row(spark, documents):
+    """Rows without an id, or that share one, stay or go by their own texts."""
+    other, clean = prose(200, 90), [(None, prose(100, 200 + k)) for k in range(5)]
+    rows = [(4, A), (9, other), (None, A), (None, other), *clean, (50, B), (50, edited(A, 100)), (60, PASSAGE), (60, PASSAGE), (None, LONG), (None, LONG), (None, None), (None, "")]
+    docs = common.table(spark, documents(rows), "documents")
+    kept = ngram_groups.keep_one(docs)
+    want = [(4, A), (9, other), *clean, (50, B), (60, PASSAGE), (None, LONG), (None, None), (None, "")]
+    assert kept.columns == docs.columns and collected(kept, "doc_id", "text") == sorted(want, key=repr)
+    got = collected(ngram_groups.link_classes(docs, ngram_groups.Rule(5, 80)), "doc_id", "component_id")
+    by_id = [(4, 4), (9, 9), (None, 4), (None, 9), *[(None, None)] * 5, (50, 4), (50, 4), (60, 60), (60, 60), *[(None, None)] * 4]
+    assert got == sorted(by_id, key=repr)
