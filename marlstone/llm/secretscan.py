@@ -10,7 +10,8 @@ Parts:
 * strong (always reported): ``assign``, ``access``, ``hex``;
 * weak (reported only when linked): ``weak_access`` (a user or client id), ``weak_secret`` (a mixed
   run of 20+ code points of a key alphabet without a label, or a labelled value too short to stand
-  alone), ``endpoint`` (a URL or host:port).
+  alone), ``endpoint`` (a URL, a labelled host, or host:port: a name with a letter in it, an IPv4 or
+  a bracketed IPv6 address; not within the value of another weak part).
 
 Roles: access identifiers (access, weak_access), secrets (assign, hex, weak_secret), endpoints
 (endpoint).  A weak part is reported when a part of another role lies within reach, and it does not
@@ -24,7 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,6 +43,9 @@ ASSIGN_LEAST = 12
 WEAK_ACCESS = re.compile(r"""(?:user(?:name|_?id)?|login|client_?id|account(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.IGNORECASE | re.ASCII)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])", re.ASCII)
 ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqps?|s3|ftp)://[A-Za-z0-9.@:_~%/?#&=+-]{4,}", re.ASCII)
+HOST = re.compile(r"""(?:(?<!local)host(?:_?name)?|server)["']?\x20*[:=]\x20*["']?(?:\[[0-9A-Fa-f:.]+\]|[A-Za-z0-9_.-]{2,})(?::[0-9]{1,5}(?![0-9]))?""", re.IGNORECASE | re.ASCII)
+# Names of one label may not follow a colon and have ports of two digits or more.
+HOST_PORT = re.compile(r"(?:\[[0-9A-Fa-f:.]{2,}\]:|(?<![A-Za-z0-9_.-])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}:|(?=[A-Za-z0-9_-]*\.)(?=[0-9_.-]*[A-Za-z])[A-Za-z0-9_.-]++:|(?<!:)(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]++:(?=[0-9]{2})))[0-9]{1,5}(?![A-Za-z0-9_]|[.:][0-9])", re.ASCII)
 
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 ROLE = {"assign": 1, "access": 0, "hex": 1, "weak_access": 0, "weak_secret": 1, "endpoint": 2}
@@ -61,7 +66,14 @@ def weak_parts(text: str, short: list[tuple[int, int, int]]) -> list[tuple[int,
     found = [(s, 4, e) for s, _, e in short]
     found += [(m.start(), 3, m.end()) for m in WEAK_ACCESS.finditer(text)]
     found += [(m.start(), 4, m.end()) for m in WEAK_SECRET.finditer(text)]
+    values = sorted((s, e) for s, _, e in found)
+    starts, most = [s for s, _ in values], list(accumulate((e for _, e in values), max))
     found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    found += [(m.start(), 5, m.end()) for m in HOST.finditer(text) if bisect_right(starts, m.start()) == bisect_left(starts, m.end())]
+    for m in HOST_PORT.finditer(text):
+        k = bisect_left(starts, m.end())
+        if text[m.start() - 1 : m.start()] == "@" or not (k and most[k - 1] > m.start()):
+            found.append((m.start(), 5, m.end()))
     return found
 
 
@@ -110,7 +122,7 @@ def scan_text(text: str | None, reach: int) -> tuple:
     return *count, hashlib.sha256(write(strong).encode()).hexdigest(), write(told), len(told) - len(strong), n_links
 
 
-#: A superset of the texts that can hold any part; one linear-time pass that drops most texts.
+#: A superset of the texts that can hold a reported part (endpoints need one of another role); one linear-time pass that drops most texts.
 MAYBE = r"(?i)(password|passwd|secret|token|api_?key|user(name|_?id)?|login|client_?id|account(_?id)?)[\"']? *[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|://|[A-Za-z0-9+/_=-]{20}"
 
 

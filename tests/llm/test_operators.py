@@ -262,3 +262,23 @@ def test_near_copies_by_row(spark, documents):
     got = collected(ngram_groups.link_classes(docs, ngram_groups.Rule(5, 80)), "doc_id", "component_id")
     by_id = [(4, 4), (9, 9), (None, 4), (None, 9), *[(None, None)] * 5, (50, 4), (50, 4), (60, 60), (60, 60), *[(None, None)] * 4]
     assert got == sorted(by_id, key=repr)
+
+
+def test_hosts_are_endpoints(spark, documents):
+    secret = "Zk9fQ2mX7Rt4Lp1Vw8Yb3"
+    hosts = ["db.internal:5432", "10.0.0.7:6379", "[fe80::1]:5432", "localhost:8080", "db:5432", "host=db.internal", "server: 'db7'", "at db.internal:5432.", "tcp:db.internal:5432"]
+    texts = [f"{secret} {h}" for h in hosts] + [f"password=abc {h}" for h in hosts]
+    plain = [f"{secret} {x}" for x in ("at 10:30 or 12:30:45", "1.2.3:4", "no host", "x:5", "a 3:16 b")] + hosts + [f"{secret}:5432", f"server: {secret}", "password=abc:5432", "login:4444"]
+    rows = list(enumerate(texts + plain))
+    docs = common.table(spark, documents(rows), "documents")
+    spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in secretscan.scan(docs).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in secretscan.redact(docs).collect()}
+    for k, text in rows[: len(texts)]:
+        assert [x[0] for x in spans[k]] == ["weak_secret", "endpoint"], (text, spans[k])
+        assert text[int(spans[k][1][1]) : int(spans[k][1][2])] in hosts[k % len(hosts)]
+        assert secret not in cleaned[k] and "abc" not in cleaned[k] and "db" not in cleaned[k].replace("'db7'", "")
+    assert all(spans[k] == [] and cleaned[k] == text for k, text in rows[len(texts) :])
+
+
+def test_long_runs_of_host_characters():
+    assert secretscan.scan_text("a.1-" * 200_000 + " " + "9." * 200_000 + "a:b:" * 100_000, 200)[6] == 0
