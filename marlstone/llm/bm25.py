@@ -40,11 +40,18 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 SLICES = 64
 DIGITS = 9
-#: More than single precision can be off by in a sum of some thousand gains.
-MARGIN = 0.01
 SCHEMA = "query_id long, rank int, doc_id long, score double"
 
 
+def slack(terms: int, total):
+    """More than a single-precision sum of ``terms`` gains that comes to ``total`` can be off by, rounding to DIGITS included.
+
+    No gain is negative, so roundings of weights, gains, products and sums in any order lose at most
+    (terms + 2) * 2^-24 of the true sum; twice that of the computed one is more.
+    """
+    return (terms + 3) * 2.0**-23 * total + 2 * 10.0**-DIGITS
+
+
 def document_words(data, off):
     starts, ends, first = tv.words(data, off, tv.ALNUM_LOWER)
     return first, tv.word_hashes(data, starts, ends, tv.ALNUM_LOWER)
@@ -190,7 +197,7 @@ class Searcher:
         """(documents, scores) that may be among the k best; ``terms`` are places in the block's terms.
 
         Rare words are scored exactly; frequent ones bound blocks, then single documents of the
-        blocks that are left in single precision (within MARGIN), then score what still qualifies.
+        blocks that are left in single precision (within ``slack``), then score what still qualifies.
         """
         local = self.local[terms]
         terms, local = terms[local >= 0], local[local >= 0]
@@ -204,7 +211,7 @@ class Searcher:
         rows, weight = rows[~rare], weight[~rare]
         light = weight.astype(np.float32)
         bound = light @ self.most[rows] + score.reshape(-1, BLOCK).max(axis=1)
-        left = np.flatnonzero(bound >= floor - MARGIN)
+        left = np.flatnonzero(bound + slack(len(local), bound) >= floor)
         if not len(left):
             return np.zeros(0, np.int64), np.zeros(0)
         if 2 * len(left) > self.blocks:
@@ -214,9 +221,10 @@ class Searcher:
             docs = (left[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             rough = score[docs] + light @ self.rough[rows[:, None], docs]
             docs, rough = docs[docs < self.n], rough[docs < self.n]
+        off = slack(len(local), rough)
         if len(docs) > k:
-            floor = max(floor, np.partition(rough, -k)[-k] - MARGIN)
-        docs = docs[(rough >= floor - MARGIN) & (rough > 0)]
+            floor = max(floor, np.partition(rough - off, -k)[-k])
+        docs = docs[(rough + off >= floor) & (rough > 0)]
         tf = self.tf[rows[:, None], docs].astype(np.float64)
         found = score[docs] + weight @ (tf * (K1 + 1) / (tf + self.norm[docs]))
         good = found > 0

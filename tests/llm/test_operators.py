@@ -282,3 +282,20 @@ def test_hosts_are_endpoints(spark, documents):
 
 def test_long_runs_of_host_characters():
     assert secretscan.scan_text("a.1-" * 200_000 + " " + "9." * 200_000 + "a:b:" * 100_000, 200)[6] == 0
+
+
+def test_bm25_keeps_ties_of_very_long_documents():
+    """Copies that tie at the floor stay, whatever single precision makes of sums of 12000 gains."""
+    import numpy as np
+
+    words = [f"w{k}" for k in range(12_000)]
+    data, off = common.utf8_view(pa.array([" ".join(w for k, w in enumerate(words) for _ in range(1 + k % 7))] * 40))
+    shard = bm25.Shard.build(np.arange(40), data, off)
+    for seed in range(20):
+        idf = np.random.default_rng(seed).uniform(0.3, 3.5, len(shard.terms))
+        searcher = bm25.Searcher(shard, shard.terms, idf, float(shard.length.mean()))
+        places = np.arange(len(shard.terms))
+        docs, scores = searcher.search(places, 10, 0.0)
+        assert len(docs) == 40
+        docs, _ = searcher.search(places, 10, float(np.round(scores.max(), bm25.DIGITS)))
+        assert len(docs) == 40, seed
