@@ -119,6 +119,13 @@ def thread_paths(starts: DataFrame) -> DataFrame:
     return now.select("conv_id", "thread", "path")
 
 
+def padded(turn):
+    """A turn as text that sorts by number: ten digits; longer ones 19 behind ``a``, negative ones counted from the least behind ``-``."""
+    wide = lambda x: F.lpad(x.cast("string"), 19, "0")
+    long = F.when(turn < 0, F.concat(F.lit("-"), wide(turn.bitwiseAND(F.lit((1 << 63) - 1))))).otherwise(F.concat(F.lit("a"), wide(turn)))
+    return F.when((turn >= 0) & (turn < 10**10), F.lpad(turn.cast("string"), 10, "0")).otherwise(long)
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, body, n_quotes, max_depth, n_linked, reply_to, reply_path."""
     table = parsed(messages)
@@ -132,7 +139,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     up = thread.select("conv_id", F.col("turn").alias("parent"), F.col("thread").alias("up"))
     starts = turns.where("starts").select("conv_id", F.col("turn").alias("thread"), "parent").join(up, ["conv_id", "parent"], "left")
     paths = thread_paths(starts)
-    key = F.array_join(F.transform(F.concat("path", F.array("turn")), lambda x: F.lpad(x.cast("string"), 10, "0")), ".")
+    key = F.array_join(F.transform(F.concat("path", F.array("turn")), padded), ".")
     place = thread.join(paths, ["conv_id", "thread"]).select("conv_id", "turn", key.alias("reply_path"))
     out = told.join(place, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "body", F.col("n_quotes").cast("long"), F.col("max_depth").cast("long"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), parent.alias("reply_to"), "reply_path")

@@ -57,3 +57,11 @@ def test_empty_table(spark, sf_dir):
 def test_long_text():
     body, n, depth, units, found = quotes.parse("> a b\n" * 50_000 + "tail")
     assert (body, n, depth) == ("tail", 1, 1) and len(found) == 2
+
+
+def test_long_and_negative_turns_keep_their_order(spark, sf_dir):
+    turns = [-(1 << 63) + 1, -(10**12), -12, -2, -1, 0, 5, 10**10 - 1, 10**10, 1_700_000_000_000, 1_700_000_000_001, 10**18]
+    path = write(sf_dir, [(1, t, "user", f"message {t}") for t in turns])
+    got = queries.op1_quotation_linking(spark, path).collect()
+    paths = {r["turn"]: r["reply_path"] for r in got}
+    assert sorted(paths, key=paths.get) == turns and paths[5] == "0000000005" and len(set(paths.values())) == len(turns)
