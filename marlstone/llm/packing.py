@@ -88,8 +88,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 65_536, pieces_per_task: int = 49_152, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``open_bins`` above ``pieces_per_task`` means that closing early is the exception; a smaller
-    number bounds memory further at the cost of fuller-first closing.
+    ``open_bins`` above ``pieces_per_task`` leaves the bound idle (best-fit decreasing over each task's
+    pieces); a smaller number bounds memory further at the cost of fuller-first closing.
     """
     pieces = stored(tokenised_pieces(id_and_text(docs, id_col, text_col), tokenizer or tokens.default_path(), capacity, end_id), "pieces")
     tasks = max(1, -(-pieces.count() // pieces_per_task))
