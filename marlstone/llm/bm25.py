@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import id_and_text, parts_for, stored, utf8_view
+from .common import id_and_text, parts_for, slices, stored, summed, utf8_view
 from .repeats import LAST_ID, ragged
 
 K1, B = 1.2, 0.75
 BLOCK = 16
-SLICES = 64
+PIECES = 16
 DIGITS = 9
 SCHEMA = "query_id long, rank int, doc_id long, score double"
 
@@ -53,8 +53,15 @@ def slack(terms: int, total):
 
 
 def document_words(data, off):
-    starts, ends, first = tv.words(data, off, tv.ALNUM_LOWER)
-    return first, tv.word_hashes(data, starts, ends, tv.ALNUM_LOWER)
+    """First word of each document, and the hashes of all words; texts are taken in slices."""
+    first, hashes, total = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], 0
+    for i, j in slices(off):
+        own = data[off[i] : off[j]]
+        starts, ends, at = tv.words(own, off[i : j + 1] - off[i], tv.ALNUM_LOWER)
+        hashes.append(tv.word_hashes(own, starts, ends, tv.ALNUM_LOWER))
+        first.append(at[1:] + total)
+        total += len(starts)
+    return np.concatenate(first), np.concatenate(hashes)
 
 
 class Shard:
@@ -138,12 +145,11 @@ def build_index(docs: DataFrame, shard_bytes: int = 16 << 20, id_col: str = "doc
 
 
 def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
-    """Documents that hold each of a block's terms, over all shards (dense counts in slices)."""
+    """Documents that hold each of a block's terms, over all shards."""
     sent = index.sparkSession.sparkContext.broadcast(terms)
-    edges = np.linspace(0, len(terms), SLICES + 1).astype(int)
 
     def each(batches):
-        wanted, squeeze = sent.value, zstandard.ZstdCompressor(level=1).compress
+        wanted = sent.value
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
             for payload in batch.column(0):
@@ -151,17 +157,10 @@ def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
                 if len(shard.terms):
                     at = np.minimum(np.searchsorted(shard.terms, wanted), len(shard.terms) - 1)
                     total += np.where(shard.terms[at] == wanted, np.diff(shard.ptr)[at], 0)
-        rows = [squeeze(total[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], ["slice", "counts"])
+        return total
 
-    def add(group):
-        inflate = zstandard.ZstdDecompressor().decompress
-        total = sum(np.frombuffer(inflate(r.as_py()), np.int64) for r in group.column("counts"))
-        return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(len(terms), np.int64)
-    for k, row in index.select("payload").mapInArrow(each, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        out[edges[k] : edges[k + 1]] = np.frombuffer(row, np.int64)
+    out = summed(index.select("payload"), each, len(terms), np.int64, PIECES)
+    sent.unpersist()
     return out
 
 

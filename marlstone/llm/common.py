@@ -18,11 +18,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at once (a longer document is taken alone).
 SLICE_BYTES = 2 << 20
+#: Partial results that one task adds up at most.
+FAN = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +70,19 @@ def parts_for(spark: SparkSession, amount: int, per_part: int) -> int:
     return max(slots(spark), math.ceil(amount / per_part))
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, whatever marks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+
+
+def mapped(docs: DataFrame, function) -> DataFrame:
+    """``mapInArrow`` that keeps the columns of ``docs``, whatever their names (dots, repeated ones)."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(function, plain.schema).toDF(*docs.columns)
 
 
 def utf8_view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,5 +112,37 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         i = j
 
 
+def summed(table: DataFrame, partial, size: int, kind=np.float64, pieces: int = 1) -> np.ndarray:
+    """The sum over all tasks of ``partial(batches)``, an array of ``size`` numbers of ``kind``.
+
+    Each task sends its array once, cut into ``pieces``; arrays are added up in a tree in which no
+    task takes more than FAN of them, however many tasks there are, and one array reaches the driver.
+    """
+    kind, edges = np.dtype(kind), np.linspace(0, size, pieces + 1).astype(int)
+
+    def each(batches):
+        total, squeeze = partial(batches), zstandard.ZstdCompressor(level=1).compress
+        rows = [squeeze(total[a:b].astype(kind).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * pieces, pa.int32()), pa.array(range(pieces), pa.int32()), pa.array(rows, pa.binary())], ["task", "piece", "part"])
+
+    def total_of(rows):
+        inflate = zstandard.ZstdDecompressor().decompress
+        return sum(np.frombuffer(inflate(r), kind) for r in rows)
+
+    def add(group):
+        one = zstandard.ZstdCompressor(level=1).compress(total_of(x.as_py() for x in group.column("part")).tobytes())
+        return pa.table([group.column("task")[:1], group.column("piece")[:1], pa.array([one], pa.binary())], names=["task", "piece", "part"])
+
+    schema = "task int, piece int, part binary"
+    rows, tasks = table.mapInArrow(each, schema), table.rdd.getNumPartitions()
+    while tasks > 1 and (tasks > FAN or pieces > 1):
+        tasks = -(-tasks // FAN)
+        rows = rows.select(F.floor(F.col("task") / FAN).cast("int").alias("task"), "piece", "part").groupBy("task", "piece").applyInArrow(add, schema)
+    out = np.zeros(size, kind)
+    for _, k, part in rows.collect():
+        out[edges[k] : edges[k + 1]] += total_of([part])
+    return out
+
+
 def blobs(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())

@@ -12,8 +12,9 @@ corpus, and each window is filed under its rarest one.
    positional bounds (the window must begin and end inside the document) prune it; the words are
    then compared exactly.
 
-The benchmark index is broadcast only up to ``index_bytes`` of benchmark text; a larger benchmark
-is taken in blocks of that size, each a pass over the documents with the marks carried along.
+The benchmark index is broadcast: arrays of at most about 13 bytes for each byte of benchmark text (a
+window every second byte at most, a word's span, its text).  A benchmark of more than ``index_bytes`` is
+taken in blocks of that size, each a pass over the documents with the marks carried along.
 
 Defined cases: null or wordless texts have no words, no hits and the digest of no items; items
 without words have no window; items with a null id mark words but are not listed; repeated rows are
@@ -23,7 +24,6 @@ judged one by one.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 
 import numpy as np
@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import slices, stored, utf8_view
+from .common import quoted, slices, stored, summed, utf8_view
+from .repeats import ragged
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 MARKS = "__marlstone_marks__"
+PIECES = 8
 
 
 class Lookup:
@@ -60,31 +61,59 @@ class Lookup:
 
 
 class Windows:
-    """Distinct windows of a block of items: their words, shingle hashes and items."""
-
-    def __init__(self, items: list[tuple], window: int, shingle: int):
-        found: dict[tuple[bytes, ...], set] = {}
-        for item_id, text in items:
-            ws = tuple(WORD.findall((text or "").encode().lower()))
-            for k in range(max(1, len(ws) - window + 1) if ws else 0):
-                found.setdefault(ws[k : k + window], set()).update([] if item_id is None else [item_id])
-        self.words = list(found)
-        self.items = [sorted(map(str, x)) for x in found.values()]
-        raw = [b" ".join(w) for w in self.words]
-        off = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        starts, ends, first = tv.words(data, off, tv.ALNUM_LOWER)
-        hashes = tv.word_hashes(data, starts, ends, tv.ALNUM_LOWER)
-        self.shingles = []  # by window: (shingle length, hashes)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            length = min(shingle, b - a)
-            self.shingles.append((int(length), tv.window_hashes(hashes[a:b], int(length))))
+    """Distinct windows of a block of items, as places in the items' words.
+
+    Words lie once in ``text`` (word k is ``text[begin[k]:end[k]]``); window w is words ``at[w]`` to
+    ``at[w] + size[w]``, held by ``items[ptr[w]:ptr[w + 1]]``.  Windows of equal words are found by
+    128-bit hashes of them.
+    """
+
+    def __init__(self, rows: list[tuple], window: int, shingle: int):
+        data, off = utf8_view(pa.array([t or "" for _, t in rows], pa.large_string()))
+        data = tv.ALNUM_LOWER[1][data]
+        self.text = data.tobytes()
+        begin, end, first = tv.words(data, off, tv.ALNUM_LOWER)
+        self.begin, self.end = begin.astype(np.int32), end.astype(np.int32)
+        hashes = tv.word_hashes(data, begin, end, tv.ALNUM_LOWER)
+        second = tv.word_hashes(data, begin, end, tv.ALNUM_LOWER, lane=1)
+        at, size, item = [], [], []
+        for k, n in enumerate(np.diff(first).tolist()):
+            count = max(1, n - window + 1) if n else 0
+            at.append(np.arange(first[k], first[k] + count))
+            size.append(np.full(count, min(n, window)))
+            item.append(np.full(count, k))
+        at, size, item = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (at, size, item))
+        a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for n in np.unique(size).tolist():
+            own = size == n
+            a[own], b[own] = (tv.window_hashes(h, n)[at[own]] for h in (hashes, second))
+        order = np.lexsort((item, b, a))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        self.at, self.size = at[order][new].astype(np.int32), size[order][new].astype(np.uint8 if window < 256 else np.int32)
+        held = np.stack((np.cumsum(new) - 1, item[order]), axis=1)
+        held = held[np.append(True, (np.diff(held, axis=0) != 0).any(axis=1))] if len(held) else held
+        names = [None if i is None else str(i) for i, _ in rows]
+        held = held[np.asarray([names[k] is not None for k in held[:, 1].tolist()], bool)] if len(held) else held
+        self.items, self.names = held[:, 1].astype(np.int32), names
+        self.ptr = np.searchsorted(held[:, 0], np.arange(len(self.at) + 1)).astype(np.int32)
+        self.lengths = np.minimum(self.size, shingle)
+        self.shingles = {int(n): tv.window_hashes(hashes, int(n)) for n in np.unique(self.lengths)}
 
     def distinct(self) -> dict[int, np.ndarray]:
-        by: dict[int, list] = {}
-        for length, h in self.shingles:
-            by.setdefault(length, []).append(h)
-        return {length: np.unique(np.concatenate(h)) for length, h in by.items()}
+        """By shingle length, the sorted distinct shingles of the windows."""
+        out = {}
+        for n, h in self.shingles.items():
+            own = self.lengths == n
+            out[n] = np.unique(h[ragged(self.at[own].astype(np.int64), self.size[own].astype(np.int64) - n + 1)])
+        return out
+
+    def words(self, w: int) -> list[bytes]:
+        a, n = int(self.at[w]), int(self.size[w])
+        return [self.text[x:y] for x, y in zip(self.begin[a : a + n].tolist(), self.end[a : a + n].tolist(), strict=True)]
+
+    def held_by(self, w: int) -> set[str]:
+        return {self.names[k] for k in self.items[self.ptr[w] : self.ptr[w + 1]].tolist()}
 
 
 def document_words(data, off):
@@ -109,50 +138,60 @@ def frequencies(docs: DataFrame, text_col: str, distinct: dict[int, np.ndarray])
                     inside = at + n <= first[doc + 1]
                     pairs = np.unique(doc[inside] * np.int64(len(total)) + k[inside])
                     np.add.at(total, pairs % len(total), 1)
-        for n, (_, total) in known.items():
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n), pa.int32()), pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], ["n", "k", "df"])
+        return np.concatenate([total for _, total in known.values()])
 
-    out = {n: np.zeros(len(h), np.int64) for n, h in distinct.items()}
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "n int, k long, df long").groupBy("n", "k").agg(F.sum("df").alias("df"))
-    for n, k, df in counted.collect():  # at most one row for each benchmark shingle of this block
-        out[n][k] = df
-    return out
+    sizes = [len(h) for h in distinct.values()]
+    total = summed(docs.select(F.col(quoted(text_col)).cast("string")), count, sum(sizes), np.int64, PIECES)
+    sent.unpersist()
+    return dict(zip(distinct, np.split(total, np.cumsum(sizes)[:-1]), strict=True))
 
 
 def prefix_index(windows: Windows, distinct: dict[int, np.ndarray], df: dict[int, np.ndarray]) -> dict:
-    """By shingle length: sorted prefix hashes, and the (window, place) filed under each."""
-    filed: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for w, (length, h) in enumerate(windows.shingles):
-        rarity = df[length][np.searchsorted(distinct[length], h)]
-        place = int(np.lexsort((h, rarity))[0])
-        if rarity[place]:  # a shingle that no document holds: the window occurs nowhere
-            filed.setdefault(length, {}).setdefault(int(h[place]), []).append((w, place))
-    return {length: (np.asarray(sorted(by), np.uint64), [by[x] for x in sorted(by)]) for length, by in filed.items()}
-
-
-def probe(index: dict, lookups: dict, words: list, data: np.ndarray, off: np.ndarray):
+    """By shingle length: sorted prefix hashes, and where in (window, place) the ones filed under each begin."""
+    filed = {}
+    for n, known in distinct.items():
+        own = np.flatnonzero(windows.lengths == n)
+        best = np.full(len(own), -1)
+        least, least_hash = np.full(len(own), np.iinfo(np.int64).max), np.zeros(len(own), np.uint64)
+        size = windows.size[own].astype(np.int64) - n + 1
+        for place in range(int(size.max())):  # the rarest shingle of each window, by hash among equals
+            w = np.flatnonzero(size > place)
+            h = windows.shingles[n][windows.at[own[w]] + place]
+            rarity = df[n][np.searchsorted(known, h)]
+            less = (rarity < least[w]) | ((rarity == least[w]) & (h < least_hash[w]))
+            best[w[less]], least[w[less]], least_hash[w[less]] = place, rarity[less], h[less]
+        there = least > 0  # a shingle that no document holds: the window occurs nowhere
+        own, best, h = own[there], best[there], least_hash[there]
+        order = np.argsort(h, kind="stable")
+        hashes, begin = np.unique(h[order], return_index=True)
+        if len(hashes):
+            filed[n] = hashes, np.append(begin, len(h)).astype(np.int32), own[order].astype(np.int32), best[order].astype(np.int32)
+    return filed
+
+
+def probe(index: dict, lookups: dict, windows: Windows, data: np.ndarray, off: np.ndarray):
     """Number of words by document, and the verified (document, first word, window) of a run."""
     starts, ends, first, hashes = document_words(data, off)
     lower = None
     found = []
-    for n, (_, entries) in index.items():
+    for n, (_, begin_at, filed, places) in index.items():
         at, k = lookups[n].find(tv.window_hashes(hashes, n))
-        docs = np.searchsorted(first, at, "right") - 1
-        for p, e, d in zip(at.tolist(), k.tolist(), docs.tolist(), strict=True):
-            for w, place in entries[e]:
-                begin, own = p - place, words[w]
-                if begin < first[d] or begin + len(own) > first[d + 1]:
-                    continue
-                if lower is None:
-                    lower = data.tobytes().lower()
-                if all(lower[starts[begin + x] : ends[begin + x]] == word for x, word in enumerate(own)):
-                    found.append((d, begin - int(first[d]), w))
+        count = np.diff(begin_at)[k]
+        entry, p = ragged(begin_at[k].astype(np.int64), count), np.repeat(at, count)
+        w, begin = filed[entry], p - places[entry]
+        doc = np.searchsorted(first, p, "right") - 1
+        inside = (begin >= first[doc]) & (begin + windows.size[w] <= first[doc + 1])  # length and positional bounds
+        for d, b, own in zip(doc[inside].tolist(), begin[inside].tolist(), w[inside].tolist(), strict=True):
+            if lower is None:
+                lower = tv.ALNUM_LOWER[1][data].tobytes()
+            if all(lower[starts[b + x] : ends[b + x]] == word for x, word in enumerate(windows.words(own))):
+                found.append((d, b - int(first[d]), own))
     return np.diff(first), found
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int):
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text"))
+    """The items in blocks of about ``index_bytes`` of text, each with whether it is the last."""
+    items = benchmark.select(F.col(quoted(item_col)).alias("item"), F.col(quoted(text_col)).cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // index_bytes))
     for k in range(count):
@@ -172,7 +211,7 @@ def _unpack(raw: bytes | None) -> tuple[list[tuple[int, int]], set[str]]:
     return list(zip(flat[::2], flat[1::2], strict=True)), set(rest.decode().split("\0")) if rest else set()
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, emit, schema, window: int = 13, shingle: int = 5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = 32 << 20) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, emit, schema, window: int = 13, shingle: int = 5, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = 8 << 20) -> DataFrame:
     """Run the join; ``emit(batch, verdicts)`` makes each batch's output rows.
 
     A verdict is (n_words, n_hit, items sorted as strings) of a row.
@@ -183,21 +222,22 @@ def judged(docs: DataFrame, benchmark: DataFrame, emit, schema, window: int = 13
         windows = Windows(items, window, shingle)
         distinct = windows.distinct()
         index = prefix_index(windows, distinct, frequencies(docs, text_col, distinct) if distinct else {})
-        sent = docs.sparkSession.sparkContext.broadcast((index, windows.words, windows.items))
+        del windows.shingles, windows.lengths
+        sent = docs.sparkSession.sparkContext.broadcast((index, windows))
 
         def mark(batches, sent=sent, last=last):
-            index, words, items = sent.value
-            lookups = {n: Lookup(h) for n, (h, _) in index.items()}
+            index, windows = sent.value
+            lookups = {n: Lookup(x[0]) for n, x in index.items()}
             for batch in batches:
                 carried = batch.column(width).to_pylist() if batch.num_columns > width else [None] * batch.num_rows
                 raw, offsets = utf8_view(batch.column(at))
                 rows = []
                 for i, j in slices(offsets):
-                    sizes, found = probe(index, lookups, words, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    sizes, found = probe(index, lookups, windows, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     here = [_unpack(c) for c in carried[i:j]]
                     for d, begin, w in found:
-                        here[d][0].append((begin, begin + len(words[w])))
-                        here[d][1].update(items[w])
+                        here[d][0].append((begin, begin + int(windows.size[w])))
+                        here[d][1].update(windows.held_by(w))
                     rows += [(int(n), *x) for n, x in zip(sizes, here, strict=True)]
                 own = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
                 if last:
@@ -209,6 +249,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, emit, schema, window: int = 13
             return current.mapInArrow(mark, schema)
         carrying = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{MARKS}` binary"
         current = stored(current.mapInArrow(mark, carrying), "decontam")
+        sent.unpersist()
     raise AssertionError("a benchmark has one block at least")
 
 
@@ -238,10 +279,15 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     return judged(own, benchmark, emit, REPORT_SCHEMA, **options)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, columns unchanged."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", per: int | None = None, **options) -> DataFrame:
+    """The documents without any occurrence of a window, columns unchanged.
+
+    With ``per``, only documents that have a ``per``-th of their words in occurrences go.
+    """
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
 
     def emit(batch, verdicts):
-        return batch.filter(pa.array([not contaminated(v[0], v[1]) for v in verdicts], pa.bool_()))
+        goes = [contaminated(v[0], v[1], per) if per else v[1] > 0 for v in verdicts]
+        return batch.filter(pa.array([not x for x in goes], pa.bool_()))
 
-    return judged(docs, benchmark, emit, docs.schema, text_col=text_col, **options)
+    return judged(plain, benchmark, emit, plain.schema, text_col=f"c{docs.columns.index(text_col)}", **options).toDF(*docs.columns)

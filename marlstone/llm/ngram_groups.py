@@ -8,8 +8,8 @@ A document is the set of its distinct n-word shingles; two link when 100 * |A n
 2. *Partition into groups*: classes that share a min-hash key are compared with the key's least
    member; verified links make clusters of similar documents, which are cut by hash into groups of
    about ``group_size``.
-3. *Candidate groups*: under a global order by rarity (a fixed-size table of counts over all
-   documents) linked sets share a token among their first |A| - ceil(t|A|) + 1.  Tokens held by
+3. *Candidate groups*: under a global order by rarity (a table of counts over all documents,
+   sized by the corpus up to 16 MB) linked sets share a token among their first |A| - ceil(t|A|) + 1.  Tokens held by
    several clusters give (document, group) candidates of fitting sizes, each pair of clusters in
    one direction, if their parity sketches allow a link: a sketch has a bit for the parity of the
    tokens in each slot, so two sets differ in at least as many tokens as their sketches in bits.
@@ -20,7 +20,8 @@ A document is the set of its distinct n-word shingles; two link when 100 * |A n
 
 Equal sets, a cluster's own members and the pairs within a group are never expanded, so thousands of
 near copies cost one comparison each; groups and their query lists are split to bounded sizes.
-Tokens are 64-bit hashes for counting and class identity, 48-bit ones in comparisons.
+Tokens are 64-bit hashes (of their words' bytes, through a finaliser), cut to 48 bits only where
+candidates are sought.
 
 Defined cases: null and wordless texts have the empty set and are their own component; fewer than
 n words are one shingle; rows that share an id are of one component (not in ``keep_one``, which goes
@@ -32,20 +33,20 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import math
+import uuid
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stored
+from .common import quoted, stored, summed
 from .repeats import LAST_ID, Chunks, part_of, ragged, stretches, unpack
 
-COUNT_BITS, COUNT_SLICES = 22, 64
+COUNT_PIECES = 16
 BLOCK, PAIRS = 4096, 1 << 20
 #: Rows to drop that may be broadcast (8 MB of ids and text digests); more are joined by shuffling.
 BROADCAST_ROWS = (8 << 20) // 24
@@ -148,34 +149,28 @@ def unsix(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
+def count_bits(n_bytes: int) -> int:
+    """Slots of the rarity table, as a power of two: one for each 128 bytes of text, between 2^22 and 2^24."""
+    return min(max(22, math.ceil(math.log2(max(n_bytes, 1) / 128))), 24)
+
+
 def token_counts(chunks: Chunks, rule: Rule) -> np.ndarray:
-    """Documents by token slot, over the whole corpus: a table of fixed size (saturating uint16)."""
-    size, width = 1 << COUNT_BITS, (1 << COUNT_BITS) // COUNT_SLICES
+    """Documents by token slot over the whole corpus, a byte each: eight times the binary logarithm, so none saturates."""
+    size = 1 << count_bits(chunks.bytes)
 
     def each(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for r in range(batch.num_rows):
                 _, _, data, off = unpack(batch, r)
                 sets = [short(s) for s in shingle_sets(data, off, rule.words)]
-                slots = (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
-                total += np.bincount(slots, minlength=size)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        rows = [squeeze(np.minimum(total[k * width : (k + 1) * width], 2**31 - 1).astype(np.int32).tobytes()) for k in range(COUNT_SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES), pa.int32()), pa.array(rows, pa.binary())], ["slice", "counts"])
-
-    def add(group):
-        inflate = zstandard.ZstdDecompressor().decompress
-        total = np.zeros(width, np.int64)
-        for row in group.column("counts"):
-            total += np.frombuffer(inflate(row.as_py()), np.int32)
-        return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
-
-    out = np.zeros(size, np.uint16)
-    counted = chunks.table.select("ids", "nulls", "ends", "data").mapInArrow(each, "slice int, counts binary")
-    for k, row in counted.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
-        out[k * width : (k + 1) * width] = np.frombuffer(row, np.uint16)
-    return out
+                if sets:
+                    slots, times = np.unique(np.concatenate(sets) & np.uint64(size - 1), return_counts=True)
+                    total[slots.astype(np.int64)] += times.astype(np.uint32)
+        return total
+
+    counted = summed(chunks.table.select("ids", "nulls", "ends", "data"), each, size, np.int64, COUNT_PIECES)
+    return np.minimum(np.rint(8 * np.log2(counted.astype(np.float32) + 1)), 255).astype(np.uint8)
 
 
 def profiles(chunks: Chunks, rule: Rule, by_row: bool = False) -> DataFrame:
@@ -212,7 +207,7 @@ def ship(chunks: Chunks, rule: Rule, requests: DataFrame) -> DataFrame:
                 wanted = np.unique([x["idx"] for x in asked])
                 size = off[wanted + 1] - off[wanted]
                 sets = shingle_sets(data[ragged(off[wanted], size)], np.concatenate(([0], np.cumsum(size))), rule.words)
-                done = {int(i): six(short(x)) for i, x in zip(wanted, sets, strict=True)}
+                done = {int(i): x.astype("<u8").tobytes() for i, x in zip(wanted, sets, strict=True)}
                 for begin in range(0, len(asked), 1000):
                     rows = asked[begin : begin + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array([x["target"] for x in rows], pa.int64()), pa.array([x["salt"] for x in rows], pa.int32()), pa.array([x["query"] for x in rows], pa.bool_()), pa.array([x["node"] for x in rows], pa.int64()), pa.array([done[x["idx"]] for x in rows], pa.binary())], ["target", "salt", "query", "node", "tokens"])
@@ -222,7 +217,8 @@ def ship(chunks: Chunks, rule: Rule, requests: DataFrame) -> DataFrame:
 
 def _sides(group) -> tuple[list, list]:
     rows = list(zip(group.column("query").to_pylist(), group.column("node").to_pylist(), group.column("tokens").to_pylist(), strict=True))
-    return [(d, unsix(t)) for q, d, t in rows if not q], [(d, unsix(t)) for q, d, t in rows if q]
+    sets = lambda asks: [(d, np.frombuffer(t, "<u8")) for q, d, t in rows if q == asks]
+    return sets(False), sets(True)
 
 
 def open_group(rule: Rule, group):
@@ -342,7 +338,7 @@ def linked_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, group_s
                 sets, tokens, idx, label = shingle_sets(data, off, rule.words), [], [], []
                 for i, own in known.items():
                     t = short(sets[i])
-                    order = np.lexsort((t, table[(t & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]))
+                    order = np.lexsort((t, table[(t & np.uint64(len(table) - 1)).astype(np.int64)]))
                     first = t[order[: len(t) - rule.needed(len(t)) + 1]]
                     tokens.append(first)
                     idx.append(np.full(len(first), i, np.uint32))
@@ -428,12 +424,13 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80), id_col: str = "doc_id",
     rows = linked_rows(docs, rule, id_col, text_col, by_row=True).where("head IS NOT NULL")
     rows = rows.groupBy("doc_id", "text").agg(F.first("head").alias("head"), F.count("*").alias("rows"))
     stays = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("text") == F.col("head.text"))
-    rows = stored(rows.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias("__row_id"), F.col("text").alias("__row_text"), stays.alias("__stays")), "extra")
+    own = uuid.uuid4().hex  # no column of ``docs`` has such names
+    row_id, row_text = f"id_{own}", f"text_{own}"
+    rows = stored(rows.where(~stays | (F.col("rows") > 1)).select(F.col("doc_id").alias(row_id), F.col("text").alias(row_text), stays.alias("stays")), "extra")
     few = rows.count() <= BROADCAST_ROWS
-    own_id, own_text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.unhex(F.md5(F.col(text_col).cast("string")))
-    told = lambda r: F.broadcast(r.drop("__stays")) if few else r.drop("__stays").hint("merge")
-    same = (own_id == F.col("__row_id")) & (own_text == F.col("__row_text"))
-    out, twins = docs.join(told(rows), same, "left_anti"), rows.where("__stays")
+    same = (F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(LAST_ID)) == F.col(row_id)) & (F.unhex(F.md5(F.col(quoted(text_col)).cast("string"))) == F.col(row_text))
+    told = lambda r: F.broadcast(r.drop("stays")) if few else r.drop("stays").hint("merge")
+    out, twins = docs.join(told(rows), same, "left_anti"), rows.where("stays")
     if twins.isEmpty():
         return out
-    return out.union(docs.join(told(twins), same).dropDuplicates(["__row_id", "__row_text"]).drop("__row_id", "__row_text"))
+    return out.union(docs.join(told(twins), same).dropDuplicates([row_id, row_text]).drop(row_id, row_text))

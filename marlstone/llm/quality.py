@@ -25,12 +25,11 @@ import dataclasses
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import id_and_text, slices, stored, utf8_view
+from .common import id_and_text, mapped, slices, stored, summed, utf8_view
 
 #: Byte kinds: each ASCII mark by itself, then digits, capitals, small letters, blanks, line ends, controls, others.
 MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -102,21 +101,16 @@ class Model:
 
 
 def _summed(table: DataFrame, partial, size: int) -> np.ndarray:
-    """Add up ``partial(features, is positive)`` over all rows, in two levels."""
+    """Add up ``partial(features, is positive)`` over all rows."""
 
     def each(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += partial(_matrix(batch.column("x")), np.asarray(batch.column("positive").to_pylist(), bool))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["k", "v"])
+        return total
 
-    def add(group):
-        total = sum(np.frombuffer(v.as_py()) for v in group.column("v"))
-        return pa.table({"v": pa.array([total.tobytes()], pa.binary())})
-
-    rows = table.select("x", "positive").mapInArrow(each, "k int, v binary").groupBy("k").applyInArrow(add, "v binary").collect()
-    return sum((np.frombuffer(r[0]) for r in rows), np.zeros(size))
+    return summed(table.select("x", "positive"), each, size)
 
 
 def _softplus(g: np.ndarray) -> np.ndarray:
@@ -211,4 +205,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, prior: floa
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch_features(batch.column(at)).astype(np.float64)) >= threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return mapped(docs, each)

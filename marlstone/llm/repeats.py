@@ -87,12 +87,15 @@ class Chunks:
         """Groups to deal by: a few for each task, more as the data grows."""
         return max(2 * self.buckets, math.ceil(amount / per_part))
 
-    def with_replies(self, *replies: DataFrame) -> DataFrame:
-        """The chunks and, for each reply table (chunk, part, bits), its rows as an array."""
+    def with_replies(self, *replies: DataFrame, left: bool = True) -> DataFrame:
+        """The chunks and, for each reply table (chunk, part, bits), its rows as an array.
+
+        Without ``left`` only chunks with a row in the last table.
+        """
         out = self.table
         for k, reply in enumerate(replies):
             grouped = reply.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias(f"reply{k}"))
-            out = out.join(grouped, "chunk", "left")
+            out = out.join(grouped, "chunk", "left" if left or k + 1 < len(replies) else "inner")
         return out
 
 
@@ -114,9 +117,9 @@ def reply_of(batch, r: int, name: str) -> list[tuple[int, bytes]]:
 class Anchored:
     """Windows of a chunk by anchor: runs of consecutive windows with one anchor in one document."""
 
-    def __init__(self, symbols: np.ndarray, first: np.ndarray, ids: np.ndarray, window: int, seed: int):
-        self.window, self.symbols, self.ids = window, symbols, ids
-        n = len(symbols)
+    def __init__(self, hashes: np.ndarray, n: int, first: np.ndarray, ids: np.ndarray, window: int, seed: int):
+        """``hashes`` are those of all runs of ``seed`` among the chunk's ``n`` symbols."""
+        self.window, self.n, self.ids = window, n, ids
         if n < window:
             self.starts = np.zeros(0, np.int64)
         else:
@@ -125,7 +128,6 @@ class Anchored:
             self.run_at = self.run_len = self.run_doc = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
             return
-        hashes = tv.window_hashes(symbols, seed)
         low = np.uint64((1 << POSITION_BITS) - 1)
         least = tv.sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), window - seed + 1)
         at = (least[self.starts] & low).astype(np.int64)
@@ -143,33 +145,43 @@ class Anchored:
 
     def sent(self) -> np.ndarray:
         """Each distinct anchor hash once; the low bit says that two documents here hold it."""
-        if not len(self.anchor):
-            return np.zeros(0, np.uint64)
-        least, most = np.full(len(self.distinct), LAST_ID), np.full(len(self.distinct), np.iinfo(np.int64).min)
-        np.minimum.at(least, self.inverse, self.run_ids())
-        np.maximum.at(most, self.inverse, self.run_ids())
-        return self.distinct << np.uint64(1) | (least != most).astype(np.uint64)
+        return distinct_marked(self.anchor, self.run_ids())
 
     def repeated(self, reply: list[tuple[int, bytes]], parts: int, heavy: bool = False) -> np.ndarray:
         """Runs whose anchor hash occurs in several documents, or, of those, in very many chunks."""
         if not len(self.anchor):
             return np.zeros(0, np.int64)
-        part = part_of(self.distinct, parts, 47)
-        marks = np.zeros(len(self.distinct), bool)
-        for p, bits in reply:
-            if (p >= parts) == heavy:
-                p %= parts
-                lo, hi = np.searchsorted(part, p), np.searchsorted(part, p, "right")
-                marks[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
-        return np.flatnonzero(marks[self.inverse])
+        return np.flatnonzero(marks_of(self.distinct, [(p % parts, bits) for p, bits in reply if (p >= parts) == heavy], parts, 47)[self.inverse])
 
     def covered(self, removed: np.ndarray) -> np.ndarray:
         """Symbols covered by removed windows (one mark per window start)."""
-        steps = np.zeros(len(self.symbols) + 1, np.int32)
-        at = self.starts[removed]
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + self.window, -1)
-        return np.cumsum(steps[:-1]) > 0
+        return covered(self.starts[removed], self.window, self.n)
+
+
+def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Which of ``n`` symbols lie in a window that begins at one of ``starts``."""
+    steps = np.zeros(n + 1, np.int32)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + window, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def distinct_marked(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Each distinct 47-bit hash once, shifted up; the low bit says that two documents hold it."""
+    order = np.lexsort((ids, hashes))
+    h, i = hashes[order], ids[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    last = np.append(at[1:], len(h)) - 1 if len(h) else at
+    return h[at] << np.uint64(1) | (i[at] != i[last]).astype(np.uint64)
+
+
+def marks_of(hashes: np.ndarray, reply: list[tuple[int, bytes]], parts: int, bits: int) -> np.ndarray:
+    """The replies' marks for sorted hashes of ``bits`` bits, as they were sent by part."""
+    part, marks = part_of(hashes, parts, bits), np.zeros(len(hashes), bool)
+    for p, raw in reply:
+        lo, hi = np.searchsorted(part, p), np.searchsorted(part, p, "right")
+        marks[lo:hi] = np.unpackbits(np.frombuffer(raw, np.uint8), count=hi - lo).view(bool)
+    return marks
 
 
 def valid(first: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -195,16 +207,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def repeated_anchors(chunks: Chunks, anchored, parts: int, heavy_chunks: int | None = None) -> DataFrame:
-    """Pass 1: (chunk, part, bits) for the chunks' distinct anchors that several documents hold.
+def repeated_anchors(table: DataFrame, sender, parts: int, heavy_chunks: int | None = None) -> DataFrame:
+    """A level: (chunk, part, bits) for the chunks' distinct hashes that several documents hold.
 
-    With ``heavy_chunks``, further rows (part + parts) mark those that more chunks hold.
+    ``sender(batch, r)`` gives a row's ``distinct_marked`` hashes.  With ``heavy_chunks``, further rows (part + parts) mark those that more chunks hold.
     """
 
     def send(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                sent = anchored(*unpack(batch, r)).sent()
+                sent = sender(batch, r)
                 own, edges = stretches(part_of(sent >> np.uint64(1), parts, 47))
                 six = sent.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 rows = [six[a:b].tobytes() for a, b in edges]
@@ -225,7 +237,7 @@ def repeated_anchors(chunks: Chunks, anchored, parts: int, heavy_chunks: int | N
         heavy = replies(group, edges, (count > heavy_chunks)[inverse])
         return pa.concat_tables([out, heavy.set_column(1, "part", pc.add(heavy.column("part"), pa.scalar(parts, pa.int32())))])
 
-    sent = chunks.table.select("chunk", "ids", "nulls", "ends", "data").mapInArrow(send, "part int, chunk long, sent binary")
+    sent = table.drop("n_bytes").mapInArrow(send, "part int, chunk long, sent binary")
     return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, bits binary")
 
 

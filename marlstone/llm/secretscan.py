@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, mapped
 
 # The three base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -147,7 +147,7 @@ def redact(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col:
 
     Overlapping spans are merged and carry the first one's kind.  A null text stays null.
     """
-    schema, at = docs.schema, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
     def clean(text: str) -> str:
         spans, out, done = scan_text(text, reach)[4], [], 0
@@ -172,4 +172,4 @@ def redact(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col:
                 batch = pa.RecordBatch.from_arrays([fixed if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
             yield batch
 
-    return docs.mapInArrow(apply, schema)
+    return mapped(docs, apply)

@@ -91,6 +91,29 @@ def first_documents(text: np.ndarray, counts: np.ndarray, ids: np.ndarray, windo
     return out[ragged(out_at[stands], counts)]
 
 
+def run_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of each run of (eight or more) bytes, of its first and last window of a power of two."""
+    out = np.zeros(len(begin), np.uint64)
+    if len(begin):
+        eight = np.ascontiguousarray(tv.eight_bytes(data)[: len(data) - 7])
+        for size, whole in tv.doublings(eight, int(length.max()), 8):
+            own = np.flatnonzero((length >= size) & (length < 2 * size))
+            out[own] = tv.joined(whole[begin[own]], whole[begin[own] + length[own] - size] + length[own].astype(np.uint64))
+    return out
+
+
+def equal_neighbours(data: np.ndarray, content: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each run has the same bytes as the one before it (compared as bytes, where hashes agree)."""
+    same = (content[1:] == content[:-1]) & (length[1:] == length[:-1])
+    at, eight = np.flatnonzero(same), tv.eight_bytes(data)
+    for k in range(0, int(length.max(initial=0)), 8):  # the last eight bytes may overlap those before
+        step = np.minimum(k, length[at] - 8)
+        at = at[eight[begin[at] + step] == eight[begin[at + 1] + step]]
+    out = np.zeros(len(same), bool)
+    out[at] = True
+    return out
+
+
 class SentRuns:
     """Runs of repeated anchors in a chunk, equal ones combined under their least document id.
 
@@ -98,7 +121,7 @@ class SentRuns:
     many documents hold such an anchor, each in its own surroundings, no part receives them all.
     """
 
-    def __init__(self, a: Anchored, runs: np.ndarray, heavy: np.ndarray):
+    def __init__(self, a: Anchored, data: np.ndarray, runs: np.ndarray, heavy: np.ndarray):
         runs = np.setdiff1d(runs, heavy)
         alone = ragged(a.run_at[heavy], a.run_len[heavy])
         owner = np.concatenate((runs, np.repeat(heavy, a.run_len[heavy])))
@@ -106,12 +129,11 @@ class SentRuns:
         self.size = np.concatenate((a.run_len[runs], np.ones(len(alone), np.int64)))
         begin, length = a.starts[self.at], self.size + a.window - 1
         self.ids = a.run_ids()[owner]
-        content = tv.mix(tv.span_hash(tv.prefix_hash(a.symbols), begin, begin + length) + length.astype(np.uint64)) if len(owner) else np.zeros(0, np.uint64)
+        content = run_hashes(data, begin, length)
         deal = np.concatenate((a.anchor[runs], content[len(runs) :] >> np.uint64(17)))
         order = np.lexsort((self.ids, content, deal))
-        c, n = content[order], deal[order]
         new = np.ones(len(order), bool)
-        new[1:] = (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+        new[1:] = (np.diff(deal[order]) != 0) | ~equal_neighbours(data, content[order], begin[order], length[order])
         heads = order[new]  # a least document of each distinct run
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
@@ -136,12 +158,12 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
     parts1, parts2 = chunks.parts(chunks.bytes, 64 << 20), chunks.parts(chunks.bytes, 2 << 20)
 
     def anchored(ids, nulls, data, off):
-        return Anchored(data.astype(np.uint64) + np.uint64(1), off, ids, window, seed)
+        return Anchored(tv.byte_windows(data, seed), len(data), off, ids, window, seed)
 
-    def chosen(a, reply):
-        return SentRuns(a, a.repeated(reply, parts1), a.repeated(reply, parts1, heavy=True))
+    def chosen(a, data, reply):
+        return SentRuns(a, data, a.repeated(reply, parts1), a.repeated(reply, parts1, heavy=True))
 
-    level1 = stored(repeated_anchors(chunks, anchored, parts1, heavy_chunks), "anchors")
+    level1 = stored(repeated_anchors(chunks.table, lambda batch, r: anchored(*unpack(batch, r)).sent(), parts1, heavy_chunks), "anchors")
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -149,7 +171,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
             for r in range(batch.num_rows):
                 ids, nulls, data, off = unpack(batch, r)
                 a = anchored(ids, nulls, data, off)
-                sent = chosen(a, reply_of(batch, r, "reply0"))
+                sent = chosen(a, data, reply_of(batch, r, "reply0"))
                 part, edges = stretches(part_of(sent.deal, parts2, 47))
                 texts = [squeeze(data[ragged(sent.begin[x:y], sent.length[x:y])].tobytes()) for x, y in edges]
                 table = [squeeze(np.concatenate((sent.count[x:y], sent.least[x:y])).astype(np.int64).tobytes()) for x, y in edges]
@@ -171,7 +193,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
             for r in range(batch.num_rows):
                 ids, nulls, data, off = unpack(batch, r)
                 a = anchored(ids, nulls, data, off)
-                gone = a.covered(chosen(a, reply_of(batch, r, "reply0")).removed(reply_of(batch, r, "reply1"), parts2))
+                gone = a.covered(chosen(a, data, reply_of(batch, r, "reply0")).removed(reply_of(batch, r, "reply1"), parts2))
                 starts = gone.copy()
                 starts[1:] &= ~gone[:-1]
                 inner = off[:-1][off[:-1] < len(gone)]

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("p")
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for key, base in (("p", _BASE), ("i", _INV)):
-            out = np.ones(size, U64)
-            filled, step = 1, base
-            while filled < size:  # out[k:2k] = out[:k] * base^k
-                out[filled : 2 * filled] = out[:filled] * U64(step)
-                step = step * step % (1 << 64)
-                filled *= 2
-            _POWERS[key] = out
-    return _POWERS["p"], _POWERS["i"]
+#: Words up to this many bytes are hashed in blocks of eight, all words at once; longer ones one by one.
+SHORT = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_LANES = (b"marlstone-0", b"marlstone-1")
+_SEEDS = np.array([int.from_bytes(hashlib.blake2b(lane, digest_size=8).digest(), "little") for lane in _LANES], U64)
+_ODD, _ADD = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,46 +60,74 @@ def words(data: np.ndarray, offsets: np.ndarray, kind) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values * base^i; ``span_hash`` reads any span of them."""
-    p, _ = _powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * p[: len(values)], out=out[1:])
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros beyond the end); a view of a padded copy."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbours' hashes, in order."""
+    h = a * _ODD
+    h += _ADD
+    h ^= b
+    return mix(h)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; the two lanes together are one of 128 bits.
+
+    Eight bytes at a time are chained through a finaliser, so no algebraic pattern of letters (as
+    sums of powers have) makes words collide; long words go through BLAKE2 keyed by lane.
+    """
+    value = kind[1][data]
+    eight, size = eight_bytes(value), ends - starts
+    h = joined(size.astype(U64), _SEEDS[lane])
+    own, at, left, out = None, starts, size, h
+    for _ in range(0, SHORT, 8):
+        h = joined(h, eight[at] & _MASKS[np.minimum(left, 8)])
+        if own is None:
+            out = h
+        else:
+            out[own] = h
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        own = more if own is None else own[more]
+        h, at, left = h[more], at[more] + 8, left[more] - 8
+    raw = value.tobytes()
+    for k in own.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8, key=_LANES[lane]).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, inv = _powers(len(prefix))
-    return (prefix[ends] - prefix[starts]) * inv[starts]
-
+def doublings(symbols: np.ndarray, length: int, unit: int = 1):
+    """Hashes of runs of ``unit``, ``2 unit``, ... up to ``length`` symbols at every place; each made of two halves."""
+    while True:
+        yield unit, symbols
+        if 2 * unit > length:
+            return
+        symbols, unit = joined(symbols[:-unit], symbols[unit:]), 2 * unit
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind) -> np.ndarray:
-    values = kind[1][data].astype(U64) + U64(1)
-    return mix(span_hash(prefix_hash(values), starts, ends))
 
+def window_hashes(symbols: np.ndarray, length: int, unit: int = 1) -> np.ndarray:
+    """Hash of each run of ``length`` symbols; fewer symbols give none.
 
-def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of ``length`` symbols (hashes of words); fewer symbols give none."""
-    if len(symbols) < length:
+    ``symbols`` are hashes of words (or, with ``unit`` 8, eight bytes from each place on).  Two runs of
+    the greatest power of two that fits cover a window; they may overlap.
+    """
+    if len(symbols) + unit - 1 < length:
         return np.zeros(0, U64)
-    prefix = prefix_hash(symbols)
-    starts = np.arange(len(symbols) - length + 1)
-    return mix(span_hash(prefix, starts, starts + length) + U64(length))
-
-
-def valid_windows(first: np.ndarray, length: int, total: int) -> np.ndarray:
-    """Which of the ``total - length + 1`` windows stay within one document."""
-    count = max(0, total - length + 1)
-    out = np.ones(count, bool)
-    if length > 1:
-        marks = np.zeros(total + 1, np.int32)
-        ends = first[1:]
-        lo, hi = np.maximum(ends - length + 1, 0), ends
-        ok = hi > lo
-        np.add.at(marks, lo[ok], 1)
-        np.add.at(marks, hi[ok], -1)
-        out = np.cumsum(marks)[:count] == 0
-    return out
+    for size, whole in doublings(symbols, length, unit):
+        pass
+    n = len(symbols) + unit - length
+    return joined(whole[:n], whole[length - size : length - size + n] + U64(length))
+
+
+def byte_windows(data: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` (eight at least) bytes."""
+    return window_hashes(np.ascontiguousarray(eight_bytes(data)[: max(0, len(data) - 7)]), length, 8)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
