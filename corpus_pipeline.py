@@ -24,7 +24,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages in a twentieth of their words or more go."""
+    """Documents that hold a benchmark passage (13 words in a row, or a whole shorter item) go."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
