@@ -14,8 +14,9 @@ Parts:
   a bracketed IPv6 address; not within the value of another weak part).
 
 Roles: access identifiers (access, weak_access), secrets (assign, hex, weak_secret), endpoints
-(endpoint).  A weak part is reported when a part of another role lies within reach, and it does not
-overlap a strong part.
+(endpoint).  A secret is complemented by an identifier or an endpoint, each of these by a secret; a weak
+part is reported when a part that complements it lies within reach, and it does not overlap a strong
+part.  So a login name beside an address, without a secret, is prose and stays.
 
 Defined cases: null and empty texts have no parts; repeated rows give repeated results; an empty
 table gives no rows.
@@ -49,6 +50,10 @@ HOST_PORT = re.compile(r"(?:\[[0-9A-Fa-f:.]{2,}\]:|(?<![A-Za-z0-9_.-])(?:[0-9]{1
 
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 ROLE = {"assign": 1, "access": 0, "hex": 1, "weak_access": 0, "weak_secret": 1, "endpoint": 2}
+#: By role: identifiers and endpoints need a secret, secrets one of those.
+COMPLEMENTS = ((1,), (0, 2), (1,))
+#: An endpoint that holds a password itself.
+USER_INFO = re.compile(r"//[^/\s@]*:[^/\s@]+@")
 SCAN_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_weak long, n_links long"
 
 
@@ -78,7 +83,7 @@ def weak_parts(text: str, short: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def interval_links(parts: list[tuple[int, int, int]], reach: int) -> tuple[list[bool], int]:
-    """Which parts (in start order) have a part of another role within reach, and how many have.
+    """Which parts (in start order) have a complement within reach, and how many have.
 
     Each role keeps its parts' starts and running greatest end; a part [s, e) is linked to a role
     when one of that role's parts that start before e + reach ends after s - reach.
@@ -90,11 +95,11 @@ def interval_links(parts: list[tuple[int, int, int]], reach: int) -> tuple[list[
         most.append(max(e, most[-1]) if most else e)
     linked = []
     for s, kind, e in parts:
-        own, hit = ROLE[KINDS[kind]], False
-        for role, (starts, most) in by_role.items():
-            if role != own:
-                k = bisect_left(starts, e + reach)
-                hit = hit or (k > 0 and most[k - 1] > s - reach)
+        hit = False
+        for role in COMPLEMENTS[ROLE[KINDS[kind]]]:
+            starts, most = by_role.get(role, ([], []))
+            k = bisect_left(starts, e + reach)
+            hit = hit or (k > 0 and most[k - 1] > s - reach)
         linked.append(hit)
     return linked, sum(linked)
 
@@ -145,7 +150,8 @@ def scan(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: st
 def redact(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text", mark: str = "[{kind}]") -> DataFrame:
     """``docs`` with every reported span replaced by a mark of its kind; other columns unchanged.
 
-    Overlapping spans are merged and carry the first one's kind.  A null text stays null.
+    An endpoint is replaced only if it holds a password.  Overlapping spans are merged and carry the
+    first one's kind.  A null text stays null.
     """
     at = docs.columns.index(text_col)
 
@@ -154,6 +160,8 @@ def redact(docs: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col:
         merged: list[list] = []
         for span in spans.split(",") if spans else []:
             kind, s, e = span.rsplit(":", 2)
+            if kind == "endpoint" and not USER_INFO.search(text, int(s), int(e)):
+                continue
             if merged and int(s) < merged[-1][2]:
                 merged[-1][2] = max(merged[-1][2], int(e))
             else:
