@@ -2,11 +2,11 @@
 
 Bounded-space online best-fit: at most ``open_bins`` sequences are open; a bitset keyed by free
 space finds the tightest fit in one scan of a 2049-bit integer; when a new sequence is needed and
-the limit is reached, the fullest open one closes first.
+the limit is reached, the fullest open one closes first.  A piece is placed as it comes and never moved.
 
-Packing needs lengths only.  Documents are tokenised once where they are read, pieces (a few dozen
-bytes each) are dealt round-robin over ``pieces / pieces_per_task`` tasks and arrive there longest
-first, so that every task sees the same mix of lengths and fills nearly every sequence.
+Packing needs lengths only.  Documents are tokenised once where they are read, and pieces (a few dozen
+bytes each) are dealt over ``pieces / pieces_per_task`` tasks, where they come in the order of a hash of
+theirs, so that every task sees the same mix of lengths and a task that is run again packs alike.
 
 Defined cases: a null or empty text is one piece holding the end id alone; repeated rows are packed
 like any other rows; an empty table gives no rows; a null id stays null.
@@ -64,36 +64,29 @@ class BestFit:
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    end = np.asarray([end_id], "<u4").tobytes()
-    step = 4 * capacity
-
     def cut(batches):
         known = tokens.load(tokenizer)
         for batch in batches:
-            doc, piece, length, crc = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = known.ids(text.as_py()) + end
-                for k in range(0, len(ids), step):
-                    part = ids[k : k + step]
-                    doc.append(doc_id)
-                    piece.append(k // step)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            start = [capacity * k for k in piece]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, off in known.runs(batch.column(1), end_id):
+                own = np.repeat(np.arange(len(off) - 1), -(-np.diff(off) // capacity))
+                piece = np.arange(len(own)) - np.searchsorted(own, own)
+                at = off[own] + piece * capacity
+                size = np.minimum(off[own + 1] - at, capacity)
+                crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + first)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(cut, PIECE_SCHEMA)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 65_536, pieces_per_task: int = 49_152, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, pieces_per_task: int = 131_072, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``open_bins`` above ``pieces_per_task`` leaves the bound idle (best-fit decreasing over each task's
-    pieces); a smaller number bounds memory further at the cost of fuller-first closing.
+    ``open_bins`` bounds what a task holds open; each task ends with some sequences half full, so fewer,
+    larger lots (``pieces_per_task``) waste less.
     """
     pieces = stored(tokenised_pieces(id_and_text(docs, id_col, text_col), tokenizer or tokens.default_path(), capacity, end_id), "pieces")
     tasks = max(1, -(-pieces.count() // pieces_per_task))
-    dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(tasks).sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece")
 
     def place(batches):
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
