@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -34,16 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is set only where the session names none (tests)."""
+    """The cluster's shared folder; only a local master (tests) makes its own where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and current.isDefined():
+        path = current.get()
     if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(path)
-        return path
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
 

@@ -192,11 +192,13 @@ def probe(index: dict, lookups: dict, windows: Windows, data: np.ndarray, off: n
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int):
     """The items in blocks of about ``index_bytes`` of text, each with whether it is the last."""
     items = benchmark.select(F.col(quoted(item_col)).alias("item"), F.col(quoted(text_col)).cast("string").alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-size // index_bytes))
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    count = max(1, min(-(-(size or 0) // index_bytes), n))
     for k in range(count):
         own = items if count == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield k == count - 1, [tuple(r) for r in own.collect()]
+        rows = [tuple(r) for r in own.collect()]
+        if rows or k == count - 1:  # a block that no item falls into needs no pass
+            yield k == count - 1, rows
 
 
 def _pack(spans: list[tuple[int, int]], items: set[str]) -> bytes:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import quoted, stored, summed
-from .repeats import LAST_ID, Chunks, part_of, ragged, stretches, unpack
+from .repeats import LAST_ID, Chunks, dealt, part_of, ragged, stretches, unpack
 
 COUNT_PIECES = 16
 BLOCK, PAIRS = 4096, 1 << 20
@@ -381,15 +381,15 @@ def linked_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, group_s
         return pa.table({"token": pa.array(tokens[keep].astype(np.int64)), "chunk": pa.array(chunk[keep], pa.int64()), "idx": pa.array(idx[keep].astype(np.int32)), "blocks": pa.array(blocks.astype(np.int32))})
 
     info = grouped.groupBy("chunk").agg(F.collect_list(F.struct("idx", "label")).alias("info"))
-    sent = chunks.table.select("chunk", "ids", "nulls", "ends", "data").join(info, "chunk").mapInArrow(rare, "part int, chunk long, size int, sent binary")
-    hits = sent.groupBy("part").applyInArrow(shared, "token long, chunk long, idx int, blocks int")
+    told = chunks.table.select("chunk", "ids", "nulls", "ends", "data").join(info, "chunk")
+    hits = dealt(told, rare, "size int, sent binary", parts, shared, "token long, chunk long, idx int, blocks int", chunks.bytes // 4)
     hits = hits.join(grouped.select("chunk", "idx", "n", "sig", "label", "members", "block"), ["chunk", "idx"])
     own = F.pmod(F.xxhash64("chunk", "idx"), F.col("blocks")).cast("int")
-    dealt = hits.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = hits.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.withColumn("split", (low * F.col("blocks") + high).cast("long")).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("token", "split"), F.lit(parts))).select("part", "token", "split", "side", "chunk", "idx", "n", "label", "members", "block", "sig")
-    candidates = stored(dealt.groupBy("part").applyInArrow(lambda group: close_pairs(rule, group), "chunk long, idx int, label long, g_label long, g_block int").distinct(), "candidates")
+    met = met.withColumn("split", (low * F.col("blocks") + high).cast("long")).withColumn("side", F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2))
+    met = met.withColumn("part", F.pmod(F.xxhash64("token", "split"), F.lit(parts))).select("part", "token", "split", "side", "chunk", "idx", "n", "label", "members", "block", "sig")
+    candidates = stored(met.groupBy("part").applyInArrow(lambda group: close_pairs(rule, group), "chunk long, idx int, label long, g_label long, g_block int").distinct(), "candidates")
 
     # Matrix rows, bounds, and opened groups.
     asked_groups = candidates.groupBy("g_label", "g_block").agg(F.count("*").alias("queries")).withColumn("salts", F.ceil(F.col("queries") / member_rows).cast("int"))

@@ -6,8 +6,9 @@ window has one anchor, its least-hashed run of K symbols (leftmost on ties), whi
 window's content alone; equal windows have equal anchors at equal places.  About 2 in T-K+2
 positions are anchors.
 
-1. Documents are written once as chunks (some MB of whole texts) in a table bucketed by chunk, so
-   that every later pass joins its small replies to the chunks without moving text again.
+1. Documents are written once as chunks (some MB of whole texts) in a table bucketed by chunk, one
+   file for each bucket and as many buckets as the input's bytes ask for, so that every later pass joins its
+   small replies to the chunks without moving text again.
 2. Each chunk sends the distinct 47-bit hashes of its anchors, dealt by hash; the reply is one bit
    per hash: does it occur in more than one document?  A hash goes once per chunk, whatever its
    frequency, so a passage in a third of all rows is no hot key.
@@ -15,6 +16,10 @@ positions are anchors.
    combined first (the least id stands for all).  The reply is one bit per window sent.
 4. A last pass over the chunks applies the replies.
 
+What a chunk sends goes to one of many parts by hash.  Beyond FAN parts it goes in two steps (``dealt``):
+a chunk sends at most FAN bundles, and tasks that each see bundles of many chunks cut them into parts, so
+that the number of messages follows the bytes sent, not chunks times parts.
+
 All three passes derive the same anchors from the same bytes; a lost task is simply run again.
 """
 
@@ -36,6 +41,10 @@ from .common import id_and_text, scratch, slots, utf8_view
 CHUNK_BYTES = 2 << 20
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, nulls binary, ends binary, data binary"
 POSITION_BITS = 30
+#: Bytes of text that a bucket of chunks is meant for, and Spark's own limit of buckets (tasks read buckets chunk by chunk).
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
+#: Most messages of a chunk, and bytes of bundles that are cut into parts at once.
+FAN, BUNDLE_BYTES = 256, 16 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -44,8 +53,10 @@ class Chunks:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES):
         self.spark = docs.sparkSession
-        self.buckets = slots(self.spark)
-        self.name = f"marlstone_chunks_{uuid.uuid4().hex}"
+        own = id_and_text(docs, id_col, text_col)
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = min(max(slots(self.spark), math.ceil(size / BUCKET_BYTES)), MOST_BUCKETS)
+        name = f"marlstone_chunks_{uuid.uuid4().hex}"
 
         def cut(batches):
             part, seq = TaskContext.get().partitionId(), 0
@@ -78,9 +89,10 @@ class Chunks:
             if ids:
                 yield chunk()
 
-        writer = id_and_text(docs, id_col, text_col).mapInArrow(cut, CHUNK_SCHEMA).write
-        writer.bucketBy(self.buckets, "chunk").option("path", scratch(self.spark, "chunks")).option("compression", "zstd").saveAsTable(self.name)
-        self.table = self.spark.table(self.name)
+        writer = own.mapInArrow(cut, CHUNK_SCHEMA).repartition(self.buckets, "chunk").write
+        writer.bucketBy(self.buckets, "chunk").option("path", scratch(self.spark, "chunks")).option("compression", "zstd").saveAsTable(name)
+        self.table = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the catalog's entry alone: the resolved plan has the files and their buckets
         self.bytes = self.table.agg(F.sum("n_bytes")).first()[0] or 0
 
     def parts(self, amount: float, per_part: float) -> int:
@@ -207,7 +219,73 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def repeated_anchors(table: DataFrame, sender, parts: int, heavy_chunks: int | None = None) -> DataFrame:
+def _listed(column: pa.Array, edges: np.ndarray) -> pa.Array:
+    """Consecutive values as lists that end at ``edges``."""
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), column)
+
+
+def bundled(send, parts: int, names: list[str]):
+    """``send`` with a chunk's messages in at most FAN bundles of neighbouring parts."""
+    width = -(-parts // FAN)
+
+    def bundle(batches):
+        for batch in send(batches):
+            if batch.num_rows:
+                coarse = np.asarray(batch.column("part")) // width
+                at = np.flatnonzero(np.diff(coarse, prepend=-1))
+                edges = np.append(at, batch.num_rows)
+                lists = [_listed(batch.column(n), edges) for n in ("part", *names)]
+                yield pa.RecordBatch.from_arrays([pa.array(coarse[at].astype(np.int32)), batch.column("chunk").take(pa.array(at)), *lists], ["coarse", "chunk", "parts", *names])
+
+    return bundle
+
+
+def dealt(table: DataFrame, send, payload: str, parts: int, answer, schema: str, amount: int) -> DataFrame:
+    """Messages (part, chunk, payload columns) of ``send`` to ``answer``, a function of all those of one part.
+
+    ``send`` yields one batch for each chunk, in order of parts; ``amount`` is about the bytes sent by all.
+    """
+    fields = f"part int, chunk long, {payload}"
+    if parts <= FAN:
+        return table.mapInArrow(send, fields).groupBy("part").applyInArrow(answer, schema)
+    names = [f.split()[0] for f in payload.split(", ")]
+    listed = ", ".join(f"{f.split()[0]} array<{f.split()[1]}>" for f in payload.split(", "))
+
+    def cut(batches):
+        own, size = [], 0
+
+        def made():
+            rows = pa.Table.from_batches(own).combine_chunks()
+            lists = {n: rows.column(n).combine_chunks() for n in ("parts", *names)}
+            part = np.asarray(lists["parts"].flatten())
+            chunk = np.repeat(np.asarray(rows.column("chunk")), np.asarray(lists["parts"].value_lengths()))
+            order = np.argsort(part, kind="stable")
+            at = np.flatnonzero(np.diff(part[order], prepend=-1))
+            edges, take = np.append(at, len(part)), pa.array(order)
+            columns = [pa.array(part[order][at]), _listed(pa.array(chunk[order]), edges), *(_listed(lists[n].flatten().take(take), edges) for n in names)]
+            return pa.RecordBatch.from_arrays(columns, ["part", "chunks", *names])
+
+        for batch in batches:
+            own.append(batch)
+            size += batch.nbytes
+            if size >= BUNDLE_BYTES:
+                yield made()
+                own, size = [], 0
+        if own:
+            yield made()
+
+    def opened(group):
+        part = np.repeat(np.asarray(group.column("part")), np.asarray(pc.list_value_length(group.column("chunks"))))
+        flat = [pc.list_flatten(group.column(n)) for n in ("chunks", *names)]
+        return answer(pa.table([pa.array(part, pa.int32()), *flat], names=["part", "chunk", *names]))
+
+    tasks = max(slots(table.sparkSession), math.ceil(amount / (128 << 20)))
+    bundles = table.mapInArrow(bundled(send, parts, names), f"coarse int, chunk long, parts array<int>, {listed}")
+    grouped = bundles.withColumn("of", F.pmod(F.xxhash64("chunk"), F.lit(max(1, -(-tasks // FAN))))).repartition(tasks, "coarse", "of").sortWithinPartitions("coarse").drop("of", "coarse")
+    return grouped.mapInArrow(cut, f"part int, chunks array<long>, {listed}").groupBy("part").applyInArrow(opened, schema)
+
+
+def repeated_anchors(table: DataFrame, sender, parts: int, amount: int, heavy_chunks: int | None = None) -> DataFrame:
     """A level: (chunk, part, bits) for the chunks' distinct hashes that several documents hold.
 
     ``sender(batch, r)`` gives a row's ``distinct_marked`` hashes.  With ``heavy_chunks``, further rows (part + parts) mark those that more chunks hold.
@@ -237,8 +315,7 @@ def repeated_anchors(table: DataFrame, sender, parts: int, heavy_chunks: int | N
         heavy = replies(group, edges, (count > heavy_chunks)[inverse])
         return pa.concat_tables([out, heavy.set_column(1, "part", pc.add(heavy.column("part"), pa.scalar(parts, pa.int32())))])
 
-    sent = table.drop("n_bytes").mapInArrow(send, "part int, chunk long, sent binary")
-    return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, bits binary")
+    return dealt(table.drop("n_bytes"), send, "sent binary", parts, answer, "chunk long, part int, bits binary", amount)
 
 
 def replies(group, edges: np.ndarray, marks: np.ndarray):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import textvec as tv
 from .common import stored
-from .repeats import LAST_ID, POSITION_BITS, Chunks, covered, distinct_marked, marks_of, part_of, repeated_anchors, replies, reply_of, stretches, unpack, valid
+from .repeats import LAST_ID, POSITION_BITS, Chunks, covered, dealt, distinct_marked, marks_of, part_of, repeated_anchors, replies, reply_of, stretches, unpack, valid
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -123,7 +123,7 @@ def find(docs: DataFrame, window: int = 50, least: int = 13, id_col: str = "doc_
         def send(batch, r, level=level):
             return opened(batch, r)[0].sent(level, answers(batch, r), parts1)
 
-        marks = stored(repeated_anchors(chunks.with_replies(*found, left=False), send, parts1), f"level{level}")
+        marks = stored(repeated_anchors(chunks.with_replies(*found, left=False), send, parts1, chunks.bytes // 4), f"level{level}")
         found.append(marks)
         if marks.isEmpty():  # no candidate survives: nothing repeats
             break
@@ -151,8 +151,8 @@ def find(docs: DataFrame, window: int = 50, least: int = 13, id_col: str = "doc_
         least[order] = ids[order[new]][np.cumsum(new) - 1]
         return replies(group, edges, ids > least)
 
-    candidates = chunks.with_replies(*found, left=False).mapInArrow(extend, "part int, chunk long, hashes binary, ids binary, which binary")
-    ends = [stored(candidates.groupBy("part").applyInArrow(resolve, "chunk long, part int, bits binary"), "windows")] if alive else []
+    payload = "hashes binary, ids binary, which binary"
+    ends = [stored(dealt(chunks.with_replies(*found, left=False), extend, payload, parts2, resolve, "chunk long, part int, bits binary", 2 * chunks.bytes), "windows")] if alive else []
 
     def apply(batches):
         for batch in batches:

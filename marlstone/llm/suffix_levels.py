@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import textvec as tv
 from .common import stored
-from .repeats import Anchored, Chunks, part_of, ragged, repeated_anchors, replies, reply_of, stretches, unpack
+from .repeats import Anchored, Chunks, dealt, part_of, ragged, repeated_anchors, replies, reply_of, stretches, unpack
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 BATCH_SUFFIXES = 1 << 17
@@ -163,7 +163,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
     def chosen(a, data, reply):
         return SentRuns(a, data, a.repeated(reply, parts1), a.repeated(reply, parts1, heavy=True))
 
-    level1 = stored(repeated_anchors(chunks.table, lambda batch, r: anchored(*unpack(batch, r)).sent(), parts1, heavy_chunks), "anchors")
+    level1 = stored(repeated_anchors(chunks.table, lambda batch, r: anchored(*unpack(batch, r)).sent(), parts1, chunks.bytes, heavy_chunks), "anchors")
 
     def send(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -185,8 +185,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
         text = np.frombuffer(b"".join(inflate(x.as_py()) for x in group.column("text")), np.uint8)
         return replies(group, edges, first_documents(text, counts, ids, window) < np.repeat(ids, counts))
 
-    sent = chunks.with_replies(level1).mapInArrow(send, "part int, chunk long, runs binary, text binary")
-    level2 = stored(sent.groupBy("part").applyInArrow(resolve, "chunk long, part int, bits binary"), "windows")
+    level2 = stored(dealt(chunks.with_replies(level1), send, "runs binary, text binary", parts2, resolve, "chunk long, part int, bits binary", 2 * chunks.bytes), "windows")
 
     def apply(batches):
         for batch in batches:

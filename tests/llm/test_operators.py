@@ -175,6 +175,30 @@ def test_substring_doubling(spark, case, chunk, monkeypatch):
     assert got == sorted(brute.word_repeats(rows), key=repr)
 
 
+def test_dealt_in_two_steps(spark, documents, monkeypatch):
+    """Beyond FAN parts results stay, and a chunk sends no more messages however many parts there are."""
+    from marlstone.llm import repeats
+
+    rows = [(k, t) for k, (_, t) in enumerate(ODD * 2)]
+    path = documents(rows)
+    docs = common.table(spark, path, "documents")
+    monkeypatch.setattr(repeats.Chunks.__init__, "__defaults__", ("doc_id", "text", 4000))
+    monkeypatch.setattr(repeats, "BUNDLE_BYTES", 5000)
+    want7, want8, want10 = (sorted(f(rows), key=repr) for f in (brute.byte_repeats, brute.word_repeats, brute.jaccard_classes))
+    monkeypatch.setattr(repeats, "FAN", 4)
+    monkeypatch.setattr(repeats.Chunks, "parts", lambda self, amount, per: 150)
+    assert collected(suffix_levels.find(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want7
+    assert collected(substring_doubling.find(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want8
+    assert collected(ngram_groups.link_classes(docs), "doc_id", "n_shingles", "component_id") == want10
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("marlstone_chunks")]
+
+    monkeypatch.setattr(repeats, "FAN", 256)
+    for parts in (6_000, 200_000, 3_000_000):  # about those of 30 GB, 1 TB and 100 TB
+        own = pa.RecordBatch.from_pydict({"part": pa.array(sorted(r % parts for r in range(0, 7919 * 50_000, 7919)), pa.int32()), "chunk": pa.array([1] * 50_000, pa.int64()), "sent": pa.array([b"x"] * 50_000)})
+        bundles = list(repeats.bundled(lambda batches: batches, parts, ["sent"])([own]))
+        assert sum(b.num_rows for b in bundles) <= 256 and sum(len(x) for b in bundles for x in b.column("sent").to_pylist()) == 50_000
+
+
 def test_wavelet(spark, case):
     rows, path = case
     got = collected(queries.op9_wavelet_shards(spark, path), "doc_id", "start", "n_tokens", "ids_crc32")
