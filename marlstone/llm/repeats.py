@@ -44,7 +44,7 @@ POSITION_BITS = 30
 #: Bytes of text that a bucket of chunks is meant for, and Spark's own limit of buckets (tasks read buckets chunk by chunk).
 BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
 #: Most messages of a chunk, and bytes of bundles that are cut into parts at once.
-FAN, BUNDLE_BYTES = 256, 16 << 20
+FAN, BUNDLE_BYTES = 1024, 16 << 20
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -127,37 +127,35 @@ def reply_of(batch, r: int, name: str) -> list[tuple[int, bytes]]:
 
 
 class Anchored:
-    """Windows of a chunk by anchor: runs of consecutive windows with one anchor in one document."""
-
-    def __init__(self, hashes: np.ndarray, n: int, first: np.ndarray, ids: np.ndarray, window: int, seed: int):
-        """``hashes`` are those of all runs of ``seed`` among the chunk's ``n`` symbols."""
-        self.window, self.n, self.ids = window, n, ids
-        if n < window:
-            self.starts = np.zeros(0, np.int64)
-        else:
-            self.starts = np.flatnonzero(valid(first, window, n))
-        if not len(self.starts):
-            self.run_at = self.run_len = self.run_doc = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, np.uint64)
+    """Byte windows of a chunk by anchor: runs of consecutive windows with one anchor in one document."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, ids: np.ndarray, window: int, seed: int):
+        self.window, self.n = window, len(data)
+        size = np.diff(off)
+        own = np.flatnonzero(size >= window)
+        if not len(own):
+            self.run_at = self.run_len = self.run_ids = np.zeros(0, np.int64)
+            self.anchor = self.distinct = np.zeros(0, np.uint64)
+            self.inverse = np.zeros(0, np.int64)
             return
-        low = np.uint64((1 << POSITION_BITS) - 1)
-        least = tv.sliding_min((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), window - seed + 1)
-        at = (least[self.starts] & low).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (np.diff(self.starts) != 1)
-        runs = np.flatnonzero(new)
-        self.run_at = runs  # place of its first window among the starts
-        self.run_len = np.diff(np.append(runs, len(at)))
-        self.run_doc = np.searchsorted(first, self.starts[runs], "right") - 1
-        self.anchor = hashes[at[runs]] >> np.uint64(17)
+        at = anchor_places(data, window, seed)
+        inside = np.zeros(self.n - window + 2, np.int8)  # window starts that stay in one document
+        np.add.at(inside, off[:-1][own], 1)
+        np.add.at(inside, off[1:][own] - window + 1, -1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        new = inside.copy()
+        new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
+        new[off[:-1][own]] = True
+        self.run_at = np.flatnonzero(new)  # its first window
+        doc = np.searchsorted(off, self.run_at, "right") - 1
+        self.run_len = np.minimum(np.append(self.run_at[1:], self.n), off[doc + 1] - window + 1) - self.run_at
+        self.run_ids = ids[doc]
+        self.anchor = seed_hashes(tv.eight_bytes(data), at[self.run_at].astype(np.int64), seed) >> np.uint64(17)
         self.distinct, self.inverse = np.unique(self.anchor, return_inverse=True)
 
-    def run_ids(self) -> np.ndarray:
-        return self.ids[self.run_doc]
-
     def sent(self) -> np.ndarray:
         """Each distinct anchor hash once; the low bit says that two documents here hold it."""
-        return distinct_marked(self.anchor, self.run_ids())
+        return distinct_marked(self.anchor, self.run_ids)
 
     def repeated(self, reply: list[tuple[int, bytes]], parts: int, heavy: bool = False) -> np.ndarray:
         """Runs whose anchor hash occurs in several documents, or, of those, in very many chunks."""
@@ -165,9 +163,42 @@ class Anchored:
             return np.zeros(0, np.int64)
         return np.flatnonzero(marks_of(self.distinct, [(p % parts, bits) for p, bits in reply if (p >= parts) == heavy], parts, 47)[self.inverse])
 
-    def covered(self, removed: np.ndarray) -> np.ndarray:
-        """Symbols covered by removed windows (one mark per window start)."""
-        return covered(self.starts[removed], self.window, self.n)
+
+_SEED_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def seed_hashes(eight: np.ndarray, places, seed: int) -> np.ndarray:
+    """A hash of the ``seed`` bytes (eight at least) at some places (a slice or an array of them).
+
+    It only has to be even and to depend on those bytes alone: whatever meets by it is compared later.
+    """
+    at = lambda k: eight[places.start + k : places.stop + k] if isinstance(places, slice) else eight[places + k]
+    h = None
+    for j, k in enumerate([*range(0, seed - 8, 8), seed - 8]):
+        own = at(k) * _SEED_ODD[j % 4]
+        if h is None:
+            h = own
+        else:
+            h ^= h >> np.uint64(29)
+            h += own
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def anchor_places(data: np.ndarray, window: int, seed: int, step: int = 1 << 15) -> np.ndarray:
+    """Place of the least-hashed run of ``seed`` bytes (leftmost on ties) in the window at each place; in steps that stay in cache."""
+    total, width = len(data) - window + 1, window - seed + 1
+    eight, low = tv.eight_bytes(data), np.uint64((1 << POSITION_BITS) - 1)
+    out = np.empty(max(total, 0), np.int32)
+    for a in range(0, total, step):
+        b = min(a + step, total)
+        h = seed_hashes(eight, slice(a, b + width - 1), seed)
+        h &= ~low
+        h |= np.arange(a, b + width - 1, dtype=np.uint64)
+        out[a:b] = tv.sliding_min(h, width) & low
+    return out
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:

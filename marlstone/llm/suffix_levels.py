@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import textvec as tv
 from .common import stored
-from .repeats import Anchored, Chunks, dealt, part_of, ragged, repeated_anchors, replies, reply_of, stretches, unpack
+from .repeats import Anchored, Chunks, covered, dealt, part_of, ragged, repeated_anchors, replies, reply_of, stretches, unpack
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 BATCH_SUFFIXES = 1 << 17
@@ -92,13 +92,11 @@ def first_documents(text: np.ndarray, counts: np.ndarray, ids: np.ndarray, windo
 
 
 def run_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of each run of (eight or more) bytes, of its first and last window of a power of two."""
-    out = np.zeros(len(begin), np.uint64)
-    if len(begin):
-        eight = np.ascontiguousarray(tv.eight_bytes(data)[: len(data) - 7])
-        for size, whole in tv.doublings(eight, int(length.max()), 8):
-            own = np.flatnonzero((length >= size) & (length < 2 * size))
-            out[own] = tv.joined(whole[begin[own]], whole[begin[own] + length[own] - size] + length[own].astype(np.uint64))
+    """Hash of each run of (eight or more) bytes, eight at a time; the last eight may overlap those before."""
+    eight, out = tv.eight_bytes(data), tv.mix(length.astype(np.uint64))
+    for k in range(0, int(length.max(initial=0)), 8):
+        own = np.flatnonzero(length > k)
+        out[own] = tv.joined(out[own], eight[begin[own] + np.minimum(k, length[own] - 8)])
     return out
 
 
@@ -123,12 +121,11 @@ class SentRuns:
 
     def __init__(self, a: Anchored, data: np.ndarray, runs: np.ndarray, heavy: np.ndarray):
         runs = np.setdiff1d(runs, heavy)
-        alone = ragged(a.run_at[heavy], a.run_len[heavy])
         owner = np.concatenate((runs, np.repeat(heavy, a.run_len[heavy])))
-        self.at = np.concatenate((a.run_at[runs], alone))  # first window, and number of windows
-        self.size = np.concatenate((a.run_len[runs], np.ones(len(alone), np.int64)))
-        begin, length = a.starts[self.at], self.size + a.window - 1
-        self.ids = a.run_ids()[owner]
+        self.at = np.concatenate((a.run_at[runs], ragged(a.run_at[heavy], a.run_len[heavy])))  # first window, and number of windows
+        self.size = np.concatenate((a.run_len[runs], np.ones(len(owner) - len(runs), np.int64)))
+        begin, length = self.at, self.size + a.window - 1
+        self.ids = a.run_ids[owner]
         content = run_hashes(data, begin, length)
         deal = np.concatenate((a.anchor[runs], content[len(runs) :] >> np.uint64(17)))
         order = np.lexsort((self.ids, content, deal))
@@ -141,7 +138,7 @@ class SentRuns:
         self.count, self.least = self.size[heads], self.ids[heads]
 
     def removed(self, reply: list[tuple[int, bytes]], parts: int) -> np.ndarray:
-        """Window places (among the chunk's window starts) to remove."""
+        """Starts of windows to remove."""
         edges = np.concatenate(([0], np.cumsum(self.count)))
         marks = np.zeros(edges[-1], bool)
         part = part_of(self.deal, parts, 47)
@@ -158,7 +155,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
     parts1, parts2 = chunks.parts(chunks.bytes, 64 << 20), chunks.parts(chunks.bytes, 2 << 20)
 
     def anchored(ids, nulls, data, off):
-        return Anchored(tv.byte_windows(data, seed), len(data), off, ids, window, seed)
+        return Anchored(data, off, ids, window, seed)
 
     def chosen(a, data, reply):
         return SentRuns(a, data, a.repeated(reply, parts1), a.repeated(reply, parts1, heavy=True))
@@ -192,7 +189,7 @@ def find(docs: DataFrame, window: int = 50, seed: int = 24, heavy_chunks: int =
             for r in range(batch.num_rows):
                 ids, nulls, data, off = unpack(batch, r)
                 a = anchored(ids, nulls, data, off)
-                gone = a.covered(chosen(a, data, reply_of(batch, r, "reply0")).removed(reply_of(batch, r, "reply1"), parts2))
+                gone = covered(chosen(a, data, reply_of(batch, r, "reply0")).removed(reply_of(batch, r, "reply1"), parts2), window, len(data))
                 starts = gone.copy()
                 starts[1:] &= ~gone[:-1]
                 inner = off[:-1][off[:-1] < len(gone)]

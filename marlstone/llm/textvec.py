@@ -17,8 +17,13 @@ _ODD, _ADD = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), so that any bits of a hash can serve as a bucket."""
-    h = h ^ (h >> U64(30))
-    h = h * U64(0xBF58476D1CE4E5B9)
+    return _mixed(h.copy())
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """``mix`` in place."""
+    h ^= h >> U64(30)
+    h *= U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(27)
     h *= U64(0x94D049BB133111EB)
     h ^= h >> U64(31)
@@ -72,7 +77,7 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a * _ODD
     h += _ADD
     h ^= b
-    return mix(h)
+    return _mixed(h)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind, lane: int = 0) -> np.ndarray:
@@ -102,34 +107,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind, la
     return out
 
 
-def doublings(symbols: np.ndarray, length: int, unit: int = 1):
-    """Hashes of runs of ``unit``, ``2 unit``, ... up to ``length`` symbols at every place; each made of two halves."""
-    while True:
-        yield unit, symbols
-        if 2 * unit > length:
-            return
-        symbols, unit = joined(symbols[:-unit], symbols[unit:]), 2 * unit
-
+def window_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` symbols (hashes of words); fewer symbols give none.
 
-def window_hashes(symbols: np.ndarray, length: int, unit: int = 1) -> np.ndarray:
-    """Hash of each run of ``length`` symbols; fewer symbols give none.
-
-    ``symbols`` are hashes of words (or, with ``unit`` 8, eight bytes from each place on).  Two runs of
-    the greatest power of two that fits cover a window; they may overlap.
+    Runs of 2, 4, ... symbols are each made of two halves; two of the greatest such length cover a window
+    and may overlap.
     """
-    if len(symbols) + unit - 1 < length:
+    if len(symbols) < length:
         return np.zeros(0, U64)
-    for size, whole in doublings(symbols, length, unit):
-        pass
-    n = len(symbols) + unit - length
+    whole, size = symbols, 1
+    while 2 * size <= length:
+        whole, size = joined(whole[:-size], whole[size:]), 2 * size
+    n = len(symbols) + 1 - length
     return joined(whole[:n], whole[length - size : length - size + n] + U64(length))
 
 
-def byte_windows(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of ``length`` (eight at least) bytes."""
-    return window_hashes(np.ascontiguousarray(eight_bytes(data)[: max(0, len(data) - 7)]), length, 8)
-
-
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values."""
     if len(values) < width:
