@@ -1,5 +1,6 @@
 import collections
 import random
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -129,8 +130,6 @@ def test_quality(spark, documents):
     path = documents(rows, labels={"doc_id": pa.array([d for d, _ in labels], pa.int64()), "quality": pa.array([q for _, q in labels], pa.int32()), "toxic": pa.array([0] * len(labels), pa.int32())})
     out = {r["doc_id"]: r for r in queries.op4_pu_quality(spark, path).collect()}
     assert len(out) == len(rows)
-    import zlib
-
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in out.items() if d is not None)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out.values())
     held = [(out[d]["predicted"], q) for d, q in labels if out[d]["held_out"]]
@@ -140,8 +139,58 @@ def test_quality(spark, documents):
 
 
 def test_quality_cases(spark, case):
+    """Every row is scored once, alike rows alike; null and empty texts score as each other."""
     rows, path = case
-    assert queries.op4_pu_quality(spark, path).count() == len(rows)
+    out = queries.op4_pu_quality(spark, path).collect()
+    assert sorted((r["doc_id"] for r in out), key=repr) == sorted((d for d, _ in rows), key=repr)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    scores = collections.defaultdict(set)
+    for r in out:
+        scores[r["doc_id"]].add(r["score"])
+    texts = collections.defaultdict(set)
+    for d, t in rows:
+        texts[d].add(t or "")
+    alone = {d: next(iter(t)) for d, t in texts.items() if len(t) == 1}
+    by_text = collections.defaultdict(set)
+    for d, t in alone.items():
+        by_text[t] |= scores[d]
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_quality_against_the_plain_risk(spark):
+    """The fitted weights against the risk's own definition, where it is convex and where its second term falls below zero."""
+    import numpy as np
+
+    r, n, d = np.random.default_rng(5), 400, quality.N_FEATURES
+    positive = np.arange(n) % 2 == 0
+    x = np.zeros((n, d), np.float32)
+    x[:, :4] = r.normal(size=(n, 4)) + np.outer(positive, [0.8, -0.5, 0, 0])
+    table = spark.createDataFrame([(bytes(v.tobytes()), bool(p)) for v, p in zip(x, positive, strict=True)], "x binary, positive boolean").repartition(5)
+    softplus = lambda g: np.logaddexp(0, g)
+
+    def negative_part(w, z, prior):
+        return softplus(z @ w).mean() - prior * softplus(z[positive] @ w).mean()
+
+    def risk(w, z, prior):
+        return prior * softplus(-(z[positive] @ w)).mean() + negative_part(w, z, prior) + 5e-4 * w @ w
+
+    def slope(f, w, z, prior):
+        steps = np.eye(len(w))[[0, 1, 2, 3, len(w) - 1]] * 1e-5
+        return np.array([(f(w + s, z, prior) - f(w - s, z, prior)) / 2e-5 for s in steps])
+
+    # Few positives among unlabelled texts like them: the convex case, at its minimum.
+    model = quality.fit_features(table, 0.5, steps=30)
+    z = model.design(x.astype(np.float64))
+    assert negative_part(model.weights, z, 0.5) >= 0 and np.abs(slope(risk, model.weights, z, 0.5)).max() < 1e-3
+    # A prior far above the share of positives: the second term falls below zero and is climbed back.
+    prior, k = 0.99, 1
+    while negative_part((before := quality.fit_features(table, prior, steps=k)).weights, z, prior) >= 0:
+        k += 1
+        assert k < 10
+    after = quality.fit_features(table, prior, steps=k + 1)
+    moved = (after.weights - before.weights)[[0, 1, 2, 3, -1]]
+    assert np.allclose(moved, 0.1 * slope(negative_part, before.weights, z, prior), atol=1e-6)
+    assert negative_part(after.weights, z, prior) > negative_part(before.weights, z, prior)
 
 
 def test_decontamination(spark, case):
@@ -331,7 +380,14 @@ def test_bm25(spark, case):
             assert [x[:3] for x in sorted(got)] == [x[:3] for x in sorted(want)]
             assert all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(sorted(got), sorted(want), strict=True))
     else:
-        queries.op6_bm25_topk(spark, path).collect()
+        found = queries.op6_bm25_topk(spark, path).collect()
+        asked = [d for d, t in rows if d is not None and d % 100 == 0 and t]
+        assert {r["query_id"] for r in found} <= set(asked)
+        docs = common.table(spark, path, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id * 100 as doc_id", "text")
+        own = [(r["query_id"], r["doc_id"]) for r in bm25.search(bm25.build_index(common.table(spark, path, "documents").selectExpr("doc_id * 100 as doc_id", "text")), bm25.divisible_queries(docs)).collect()]
+        for d, t in rows:  # a text finds itself, also from a row without an id or twice
+            if t and t.strip() and d is not None:
+                assert (100 * d, 100 * d) in own
 
 
 def test_near_copies_by_row(spark, documents):
