@@ -27,7 +27,7 @@ from .repeats import ragged
 _PLAIN = re.compile("([a-zß-öø-ɏ]+)([!-/:-@\\[-`{-~]*)")
 _LOADED: dict[str, "ChunkTokenizer"] = {}
 #: Entries of a generation; characters of the longest entry; bytes of text whose distinct pieces are sought at once.
-CACHE_PIECES, LONGEST, RUN_BYTES = 500_000, 64, 8 << 20
+CACHE_PIECES, LONGEST, RUN_BYTES = 500_000, 64, 4 << 20
 #: Chunks are runs of anything but spaces and line feeds.
 CHUNK = tv.byte_class(lambda b: b not in (32, 10))
 _LETTER, _ = tv.byte_class(lambda b: 97 <= b <= 122, lower=True)
