@@ -8,11 +8,12 @@ Scores use global statistics (documents, mean length, document frequencies), so
 shards merge exactly: sum over a query's distinct words of
 ``ln(1 + (N - df + .5) / (df + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / mean))``.
 
-Within a shard a query's rare words are scored from their postings; its frequent words only bound
-what each block of ``BLOCK`` documents can still gain (block maxima, as in block-max WAND).  Blocks
-whose bound is below the k-th best score found so far for this query are skipped, single documents
-of the others are bounded again, and only those that still qualify are scored; the threshold is
-carried from shard to shard of a task.  Scores are compared after rounding to nine
+A task searches neighbouring shards as one, up to ``MERGED_WORDS``, for TOGETHER queries of like main word and
+length at once.  A query's rarer words are scored from their postings; its frequent words only bound what each
+block of ``BLOCK`` documents can still gain (block maxima, as in block-max WAND), for all these queries in
+one product.  Blocks whose bound is below the k-th best score found so far for each of the queries are skipped,
+single documents of the others are bounded again by a product, and only those that still qualify are scored;
+the threshold is carried through a task.  Scores are compared after rounding to nine
 decimals, ties by least document id, so the result does not depend on how shards are cut.
 
 Queries are taken in blocks of at most ``block_bytes`` of text, each broadcast to one pass over the
@@ -37,8 +38,14 @@ from .common import id_and_text, parts_for, slices, stored, summed, utf8_view
 from .repeats import LAST_ID, ragged
 
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 64
 PIECES = 16
+#: A word is frequent in a shard of n documents if more than n / FREQUENT of them hold it.
+FREQUENT = 12
+#: Queries of one product at most, and its cells (queries times documents).
+TOGETHER, CELLS = 128, 1 << 21
+#: Words of neighbouring shards that are searched as one, and of those that one task searches (where tasks are many).
+MERGED_WORDS, TASK_WORDS = 8_000_000, 128_000_000
 DIGITS = 9
 SCHEMA = "query_id long, rank int, doc_id long, score double"
 
@@ -111,6 +118,27 @@ class Shard:
         return cls(**out)
 
 
+    @classmethod
+    def merged(cls, shards: list[Shard]) -> Shard:
+        """Some shards as one; each keeps its documents together, in its own order."""
+        if len(shards) == 1:
+            return shards[0]
+        terms, at = np.unique(np.concatenate([s.terms for s in shards]), return_inverse=True)
+        counts = np.zeros(len(terms), np.int64)
+        at = np.split(at, np.cumsum([len(s.terms) for s in shards])[:-1])
+        for shard, own in zip(shards, at, strict=True):
+            counts[own] += np.diff(shard.ptr)
+        ptr = np.concatenate(([0], np.cumsum(counts)))
+        doc, tf, free, before = np.empty(ptr[-1], np.uint32), np.empty(ptr[-1], np.uint32), ptr[:-1].copy(), 0
+        for shard, own in zip(shards, at, strict=True):
+            sizes = np.diff(shard.ptr)
+            places = ragged(free[own], sizes)
+            doc[places], tf[places] = shard.doc + np.uint32(before), shard.tf
+            free[own] += sizes
+            before += len(shard.ids)
+        return cls(ids=np.concatenate([s.ids for s in shards]), length=np.concatenate([s.length for s in shards]), terms=terms, ptr=ptr, doc=doc, tf=tf)
+
+
 def build_index(docs: DataFrame, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: one row per shard (n_docs, n_words, payload)."""
 
@@ -165,69 +193,101 @@ def document_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """One shard prepared for a block of queries: impacts, dense rows and block maxima of frequent words."""
+    """One shard prepared for a block of queries: impacts of its postings, dense rows and block maxima of frequent words.
+
+    ``code`` tells of each of the block's terms what it is here: -1 absent, then rows of frequent words, then places
+    in ``docs`` and ``impacts``, the postings of the others as bytes (which join faster than arrays).
+    """
 
     def __init__(self, shard: Shard, terms: np.ndarray, idf: np.ndarray, mean: float):
-        self.shard, self.n = shard, len(shard.ids)
+        self.n, self.blocks = len(shard.ids), -(-len(shard.ids) // BLOCK)
+        counts, ptr = np.diff(shard.ptr), shard.ptr
         at = np.minimum(np.searchsorted(shard.terms, terms), max(len(shard.terms) - 1, 0))
         here = shard.terms[at] == terms if len(shard.terms) else np.zeros(len(terms), bool)
-        self.local = np.where(here, at, -1)
-        norm = K1 * (1 - B + B * shard.length / mean)
-        tf = shard.tf.astype(np.float64)
-        self.gain = tf * (K1 + 1) / (tf + norm[shard.doc])
-        self.norm = norm
-        self.counts = np.diff(shard.ptr)
-        frequent = self.counts > max(BLOCK, self.n // 32)
-        frequent &= np.isin(np.arange(len(frequent)), self.local)
-        which = np.flatnonzero(frequent)
-        self.row = np.full(len(frequent), -1)
-        self.row[which] = np.arange(len(which))
-        self.blocks = -(-self.n // BLOCK)
-        places = ragged(shard.ptr[which], self.counts[which])
-        rows = np.repeat(np.arange(len(which)), self.counts[which])
-        self.tf = np.zeros((len(which), self.n), np.uint32)
-        self.tf[rows, shard.doc[places]] = shard.tf[places]
-        self.rough = np.zeros((len(which), self.blocks * BLOCK), np.float32)
-        self.rough[rows, shard.doc[places]] = self.gain[places]
-        self.most = self.rough.reshape(len(which), self.blocks, BLOCK).max(axis=2) if len(which) else np.zeros((0, self.blocks), np.float32)
-        self.idf = idf
+        weight = np.zeros(len(shard.terms))
+        weight[at[here]] = idf[here]
+        self.norm = K1 * (1 - B + B * shard.length / mean)
+        doc = shard.doc.astype(np.uint16) if self.n <= 1 << 16 else shard.doc
+        impact, tf = shard.tf * (K1 + 1), self.norm[doc]
+        tf += shard.tf
+        impact /= tf
+        impact *= np.repeat(weight, counts)
+        del tf
+        often = counts > max(BLOCK, self.n // FREQUENT)
+        which, others = np.flatnonzero(often & (weight > 0)), np.flatnonzero(~often & (weight > 0))
+        self.kind, spans = doc.dtype, list(zip(ptr[others].tolist(), ptr[others + 1].tolist(), strict=True))
+        self.docs, self.impacts = ([raw[i * size : j * size] for i, j in spans] for raw, size in ((x.tobytes(), x.itemsize) for x in (doc, impact)))
+        code = np.empty(len(counts), np.int32)
+        code[which], code[others] = np.arange(len(which)), np.arange(len(which), len(which) + len(others))
+        self.code = np.full(len(terms), -1, np.int32)
+        self.code[here] = code[at[here]]
+        self.weight = weight[which]
+        places, rows = ragged(ptr[which], counts[which]), np.repeat(np.arange(len(which)), counts[which])
+        own = shard.tf[places]
+        self.tf = np.zeros((len(which), self.n), np.min_scalar_type(own.max(initial=0)))
+        self.tf[rows, doc[places]] = own
+        rough = np.zeros((len(which), self.blocks * BLOCK), np.float32)
+        rough[rows, doc[places]] = impact[places]
+        self.rough = rough.reshape(len(which), self.blocks, BLOCK)
+        self.most = self.rough.max(axis=2)
+        #: Queries that ``search_together`` takes at once.
+        self.together = min(max(1, CELLS // max(1, self.blocks * BLOCK)), TOGETHER)
 
     def search(self, terms: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) that may be among the k best; ``terms`` are places in the block's terms.
+        """(documents, scores) that may be among the k best; ``terms`` are places in the block's terms."""
+        for _, docs, found in self.search_together([terms], k, np.asarray([floor])):
+            return docs, found
+        return np.zeros(0, np.int64), np.zeros(0)
+
+    def search_together(self, asked: list[np.ndarray], k: int, floors: np.ndarray):
+        """(query, documents, scores) of each of some queries that has documents that may be among its k best.
 
-        Rare words are scored exactly; frequent ones bound blocks, then single documents of the
-        blocks that are left in single precision (within ``slack``), then score what still qualifies.
+        Words that are not frequent are scored exactly, query by query.  Frequent ones bound blocks for all
+        queries in one product, then single documents of the blocks that any query has left, in single
+        precision (within ``slack``); what still qualifies is scored.
         """
-        local = self.local[terms]
-        terms, local = terms[local >= 0], local[local >= 0]
-        if not len(local):
-            return np.zeros(0, np.int64), np.zeros(0)
-        rows, weight = self.row[local], self.idf[terms]
-        rare = rows < 0
-        own, size = local[rare], self.counts[local[rare]]
-        places = ragged(self.shard.ptr[own], size)
-        score = np.bincount(self.shard.doc[places], weights=self.gain[places] * np.repeat(weight[rare], size), minlength=self.blocks * BLOCK)
-        rows, weight = rows[~rare], weight[~rare]
-        light = weight.astype(np.float32)
-        bound = light @ self.most[rows] + score.reshape(-1, BLOCK).max(axis=1)
-        left = np.flatnonzero(bound + slack(len(local), bound) >= floor)
+        n, width, often = len(asked), self.blocks * BLOCK, len(self.weight)
+        owner, code = np.repeat(np.arange(n), [len(x) for x in asked]), self.code[np.concatenate(asked)]
+        here = code >= 0
+        owner, code = owner[here], code[here]
+        if not len(code):
+            return
+
+        def of_kind(kind):
+            return code[kind], np.concatenate(([0], np.cumsum(np.bincount(owner[kind], minlength=n)))).tolist()
+
+        (row, row_at), (other, other_at) = of_kind(code < often), of_kind(code >= often)
+        other = (other - often).tolist()
+        score = np.zeros((n, width))
+        for q in range(n):
+            if own := other[other_at[q] : other_at[q + 1]]:
+                docs, impacts = b"".join([self.docs[t] for t in own]), b"".join([self.impacts[t] for t in own])
+                score[q] = np.bincount(np.frombuffer(docs, self.kind), weights=np.frombuffer(impacts), minlength=width)
+        cut = score.reshape(n, self.blocks, BLOCK)
+        asks = np.zeros((n, often), np.float32)
+        asks[owner[code < often], row] = 1
+        used = np.flatnonzero(asks.any(axis=0))
+        asks = asks[:, used]
+        # What a sum in single precision must reach for the true one to reach the floor: see slack.
+        terms = np.bincount(owner, minlength=n)
+        least = ((floors - slack(0, 0)) / (1 + slack(terms, 1) - slack(0, 0)) * (1 - 2.0**-40))[:, None]
+        left = np.flatnonzero((asks @ self.most[used] + cut.max(axis=2) >= least).any(axis=0))
         if not len(left):
-            return np.zeros(0, np.int64), np.zeros(0)
-        if 2 * len(left) > self.blocks:
-            docs = np.arange(self.n)
-            rough = score[: self.n] + (light @ self.rough[rows])[: self.n]
-        else:
-            docs = (left[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rough = score[docs] + light @ self.rough[rows[:, None], docs]
-            docs, rough = docs[docs < self.n], rough[docs < self.n]
-        off = slack(len(local), rough)
-        if len(docs) > k:
-            floor = max(floor, np.partition(rough - off, -k)[-k])
-        docs = docs[(rough + off >= floor) & (rough > 0)]
-        tf = self.tf[rows[:, None], docs].astype(np.float64)
-        found = score[docs] + weight @ (tf * (K1 + 1) / (tf + self.norm[docs]))
-        good = found > 0
-        return docs[good], found[good]
+            return
+        rough = (asks @ self.rough[used[:, None], left].reshape(len(used), len(left) * BLOCK)) + cut[:, left].reshape(n, -1)
+        maybe = rough >= np.maximum(least, np.finfo(np.float32).tiny)
+        for q in np.flatnonzero(maybe.any(axis=1)).tolist():
+            at = np.flatnonzero(maybe[q])
+            if len(at) > k:
+                low, off = rough[q, at], slack(terms[q], rough[q, at])
+                at = at[low + off >= np.partition(low - off, -k)[-k]]
+            docs = left[at // BLOCK] * BLOCK + at % BLOCK
+            own = row[row_at[q] : row_at[q + 1]]
+            tf = self.tf[own[:, None], docs].astype(np.float64)
+            found = score[q, docs] + self.weight[own] @ (tf * (K1 + 1) / (tf + self.norm[docs]))
+            good = found > 0
+            if good.any():
+                yield q, docs[good], found[good]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +296,22 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
+def joined_shards(batches):
+    """The shards of some batches of payloads, neighbours merged up to MERGED_WORDS."""
+    have, words = [], 0
+    for batch in batches:
+        for payload in batch.column(0):
+            shard = Shard.from_bytes(payload.as_py())
+            own = int(shard.length.sum())
+            if have and words + own > MERGED_WORDS:
+                yield Shard.merged(have)
+                have, words = [], 0
+            have.append(shard)
+            words += own
+    if have:
+        yield Shard.merged(have)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """queries (query_id, text) against the index: SCHEMA."""
     spark = index.sparkSession
@@ -243,30 +319,34 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int =
     size = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, out = max(1, -(-size // block_bytes)), None
     mean = max(n_words / max(n_docs, 1), 1e-9)
+    tasks = max(3 * spark.sparkContext.defaultParallelism, -(-n_words // TASK_WORDS))
     for block in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         rows = [r for r in own.select("query_id", "text").collect() if r.text]
         data, off = utf8_view(pa.array([r.text for r in rows], pa.large_string()))
         first, hashes = document_words(data, off)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        found = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+        # As in a shard, queries with the same most frequent word and like length lie together.
+        order = sorted((q for q, (s, _) in enumerate(found) if len(s)), key=lambda q: (found[q][0][found[q][1].argmax()], len(found[q][0])))
+        sets = [found[q][0] for q in order]
         terms = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         df = document_frequencies(index, terms)
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         places = [np.searchsorted(terms, s).astype(np.uint32) for s in sets]
-        sent = spark.sparkContext.broadcast((terms, idf, [(r.query_id, p) for r, p in zip(rows, places, strict=True)]))
+        sent = spark.sparkContext.broadcast((terms, idf, [(rows[q].query_id, p) for q, p in zip(order, places, strict=True)]))
 
         def each(batches, sent=sent):
             terms, idf, asked = sent.value
             best = [(np.zeros(0, np.int64), np.zeros(0))] * len(asked)
-            for batch in batches:
-                for payload in batch.column(0):
-                    searcher = Searcher(Shard.from_bytes(payload.as_py()), terms, idf, mean)
-                    for q, (_, own) in enumerate(asked):
-                        ids, scores = best[q]
-                        floor = scores[-1] if len(scores) >= k else 0.0
-                        docs, found = searcher.search(own, k, floor)
-                        if len(docs):
-                            best[q] = _best(np.concatenate((ids, searcher.shard.ids[docs])), np.concatenate((scores, found)), k)
+            floors = np.zeros(len(asked))
+            for shard in joined_shards(batches):
+                searcher = Searcher(shard, terms, idf, mean)
+                for i in range(0, len(asked), searcher.together):
+                    own = [p for _, p in asked[i : i + searcher.together]]
+                    for q, docs, found in searcher.search_together(own, k, floors[i : i + len(own)]):
+                        ids, scores = best[i + q]
+                        best[i + q] = ids, scores = _best(np.concatenate((ids, shard.ids[docs])), np.concatenate((scores, found)), k)
+                        floors[i + q] = scores[-1] if len(scores) >= k else 0.0
             keep = [q for q in range(len(asked)) if len(best[q][0])]
             yield pa.RecordBatch.from_arrays([pa.array([asked[q][0] for q in keep], pa.int64()), pa.array([best[q][0].tobytes() for q in keep], pa.binary()), pa.array([best[q][1].tobytes() for q in keep], pa.binary())], ["query_id", "ids", "scores"])
 
@@ -278,7 +358,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int =
             q, r, d, s = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
             return pa.table({"query_id": pa.array(q, pa.int64()), "rank": pa.array(r, pa.int32()), "doc_id": pa.array([None if x == LAST_ID else x for x in d], pa.int64()), "score": pa.array(s, pa.float64())})
 
-        found = index.select("payload").mapInArrow(each, "query_id long, ids binary, scores binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts_for(spark, len(rows), 1000))))
+        found = index.select("payload").coalesce(tasks).mapInArrow(each, "query_id long, ids binary, scores binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts_for(spark, len(rows), 1000))))
         merged = found.groupBy("part").applyInArrow(merge, SCHEMA)
         out = merged if out is None else out.union(merged)
     return out

@@ -458,6 +458,42 @@ def test_long_runs_of_host_characters():
     assert secretscan.scan_text("a.1-" * 200_000 + " " + "9." * 200_000 + "a:b:" * 100_000, 200)[6] == 0
 
 
+def test_bm25_searches_neighbouring_shards_and_many_queries_at_once():
+    """Shards of a task are one, and queries answered together get what plain sums give, copies and ties included."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 900)}" for x in r.zipf(1.3, n)) for n in r.integers(1, 120, 1500)]
+    texts += texts[:300] + texts[:40] * 12 + ["", "only once"]
+    batches, shards = [], []
+    for i in range(0, len(texts), 500):
+        data, off = common.utf8_view(pa.array(texts[i : i + 500]))
+        shards.append(bm25.Shard.build(np.arange(i, i + len(off) - 1), data, off))
+        batches.append(pa.RecordBatch.from_arrays([pa.array([shards[-1].to_bytes()], pa.binary())], ["payload"]))
+    (whole,) = bm25.joined_shards(batches)
+    assert sorted(whole.ids.tolist()) == list(range(len(texts))) and len(np.unique(whole.terms)) == len(whole.terms)
+
+    terms, mean = whole.terms, float(whole.length.mean())
+    df = sum(np.bincount(np.searchsorted(terms, s.terms), np.diff(s.ptr), len(terms)) for s in shards)
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    exact = np.zeros((len(texts), len(terms)))
+    for s in shards:
+        gain = s.tf * (bm25.K1 + 1) / (s.tf + bm25.K1 * (1 - bm25.B + bm25.B * s.length[s.doc] / mean))
+        at = np.searchsorted(terms, s.terms)
+        exact[s.ids[s.doc], np.repeat(at, np.diff(s.ptr))] = gain * np.repeat(idf[at], np.diff(s.ptr))
+    asked = [np.flatnonzero(exact[q]) for q in range(0, len(texts), 9)]
+    searcher = bm25.Searcher(whole, terms, idf, mean)
+    assert 0 < len(searcher.weight) < len(terms)
+    for floors in (np.zeros(len(asked)), np.asarray([np.sort(exact[:, p].sum(axis=1).round(bm25.DIGITS))[-10] for p in asked])):
+        found = {q: (docs, scores) for q, docs, scores in searcher.search_together(asked, 10, floors)}
+        for q, places in enumerate(asked):
+            want = exact[:, places].sum(axis=1)
+            ids, scores = bm25._best(np.arange(len(texts))[want > 0], want[want > 0], 10)
+            docs, own = found.get(q, (np.zeros(0, np.int64), np.zeros(0)))
+            got, had = bm25._best(whole.ids[docs], own, 10)
+            assert got.tolist() == ids.tolist() and np.allclose(had, scores, rtol=0, atol=2e-9)
+
+
 def test_bm25_keeps_ties_of_very_long_documents():
     """Copies that tie at the floor stay, whatever single precision makes of sums of 12000 gains."""
     import numpy as np
